@@ -63,7 +63,16 @@ def _without_trailing_dots(text: Column) -> Column:
 
 
 def normalize_water(col) -> Column:
-    t = phrase_text(col)
+    return water_from_phrase(phrase_text(col))
+
+
+def normalize_restroom(col) -> Column:
+    return restroom_from_phrase(phrase_text(col))
+
+
+def water_from_phrase(t: Column) -> Column:
+    """Water category of already cleaned, case-folded text. Give it a column
+    computed in an earlier projection so the text is built once per row."""
     negative = (t.isin(*WATER_NEGATIVE_EXACT) | t.rlike(WATER_NEGATIVE_PATTERN)
                 | _any_contains(t, WATER_NEGATIVE_PHRASES))
     positive = ((_without_trailing_dots(t) == "yes")
@@ -80,8 +89,8 @@ def normalize_water(col) -> Column:
             .otherwise("UNKNOWN"))
 
 
-def normalize_restroom(col) -> Column:
-    t = phrase_text(col)
+def restroom_from_phrase(t: Column) -> Column:
+    """Restroom category of already cleaned, case-folded text."""
     unknown = (t == "") | t.isin(*UNKNOWN_WORDS) | t.startswith("unknown toilet")
     negative = t.isin(*RESTROOM_NEGATIVE_EXACT)
     for pattern in RESTROOM_NEGATIVE_PATTERNS:

@@ -122,7 +122,9 @@ def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def campgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned campgrounds: categories computed by the cleaning functions."""
-    r = raw_sites(spark, sf_dir)
+    r = raw_sites(spark, sf_dir).select(
+        "*", TX.phrase_text("water_availability_raw").alias("_wt"),
+        TX.phrase_text("restroom_availability_raw").alias("_rt"))
     return r.select(
         "campground_id",
         TX.clean_text("site_name").alias("name"),
@@ -131,9 +133,9 @@ def campgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         A.convert_fee("fee_charged_raw").alias("fee_charged"),
         F.lit(None).cast("string").alias("fee_type"),
         "fee_description",
-        A.normalize_water("water_availability_raw").alias("water_category"),
+        A.water_from_phrase(F.col("_wt")).alias("water_category"),
         "water_availability_raw",
-        A.normalize_restroom("restroom_availability_raw").alias("restroom_category"),
+        A.restroom_from_phrase(F.col("_rt")).alias("restroom_category"),
         "restroom_availability_raw",
         "directions", "closest_towns", "operational_hours", "total_capacity",
         "latitude", "longitude", "official_url")
@@ -244,3 +246,173 @@ bridge AS (
   SELECT DISTINCT user_id AS recarea_id, event_type AS activity_id
   FROM events WHERE value >= {BRIDGE_MIN_VALUE})
 """
+
+
+# ------------------------------------------------- raw text feeds for cleaning
+
+# Fixed raw phrases (source-like text; the cleaning rules decide their fate).
+SUBTYPE_PHRASES = ("CAMPGROUND", "  group   campground ", "Horse Camp", "campground",
+                   "CAMPING AREA", "Day Use Area")
+CAPACITY_SUFFIX = ("", ".50", None, None)       # key % 4: n, n.50, 'about 20', ''
+PORTAL = "https://portal.example.gov/site"
+
+
+def _tenths_text(t):
+    """Text of a signed tenths integer, e.g. -123 -> '-12.3' (exact)."""
+    a = F.abs(t)
+    return F.concat(F.when(t < 0, F.lit("-")).otherwise(F.lit("")),
+                    F.floor(a / 10).cast("bigint").cast("string"), F.lit("."),
+                    F.pmod(a, F.lit(10)).cast("string"))
+
+
+def raw_site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site rows as all-text source records (column names of the source feed).
+    Pairs (10j, 10j+1) share a name and a position: duplicate candidates."""
+    c = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    cp = F.when(F.pmod(k, F.lit(10)) == 1, k - 1).otherwise(k)
+    lat_t = F.pmod(cp * F.lit(15485863), F.lit(1700)) - 850
+    lon_t = F.pmod(cp * F.lit(32452843), F.lit(3600)) - 1800
+    ks = k.cast("string")
+    m157 = F.pmod(k, F.lit(157)).cast("string")
+    m60 = F.pmod(k, F.lit(60)).cast("string")
+    url = (F.when(F.pmod(k, F.lit(5)) == 0, F.lit(""))
+           .when(F.pmod(k, F.lit(5)) == 1, F.lit(PORTAL + "?actid=29"))
+           .when(F.pmod(k, F.lit(5)) == 2, F.lit(PORTAL + "?recid=99999"))
+           .when(F.pmod(k, F.lit(5)) == 3, F.concat(F.lit(PORTAL + "?RecId="), m157,
+                                                    F.lit("&actid=29")))
+           .otherwise(F.concat(F.lit("portal.example.gov/site?actid=7&recid="), m157,
+                               F.lit("#top"))))
+    return c.select(
+        (k + 2).alias("source_row_number"),
+        ks.alias("objectid"),
+        F.when(F.pmod(k, F.lit(17)) == 0, F.lit("  "))
+        .otherwise(F.concat(F.lit("{G-"), F.lpad(ks, 8, "0"), F.lit("}"))).alias("globalid"),
+        F.lpad(ks, 5, "0").alias("site_cn"),
+        F.lpad(F.pmod(k, F.lit(1000)).cast("string"), 5, "0").alias("site_id"),
+        F.lit("").alias("root_cn"), F.lit("").alias("parent_cn"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.concat(F.lit("  "), F.col("c_name"), F.lit("  ")))
+        .otherwise(F.col("c_name")).alias("site_name"),
+        F.when(F.pmod(k, F.lit(10)) <= 1, F.concat(F.lit("Twin-Camp "), cp.cast("string")))
+        .when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("Camp "), F.pmod(k, F.lit(40)).cast("string")))
+        .otherwise(F.lit("")).alias("public_site_name"),
+        F.concat(F.lit("Area "), m157).alias("recarea_name"),
+        _pick(k, tuple((p, p) for p in SUBTYPE_PHRASES), 0).alias("site_subtype"),
+        F.when(F.pmod(k, F.lit(19)) == 0, F.lit("91"))
+        .when(F.pmod(k, F.lit(23)) == 0, F.lit("n/a"))
+        .otherwise(_tenths_text(lat_t)).alias("latitude"),
+        F.when(F.pmod(k, F.lit(29)) == 0, F.lit(""))
+        .when(F.pmod(k, F.lit(31)) == 0, F.lit("-181.5"))
+        .otherwise(_tenths_text(lon_t)).alias("longitude"),
+        url.alias("usda_portal_url"),
+        _pick(k, FEE_PHRASES, 0).alias("fee_charged"),
+        F.when(F.pmod(k, F.lit(4)) == 0, m60)
+        .when(F.pmod(k, F.lit(4)) == 1, F.concat(m60, F.lit(".50")))
+        .when(F.pmod(k, F.lit(4)) == 2, F.lit("about 20"))
+        .otherwise(F.lit("")).alias("total_capacity"),
+        _pick(k, WATER_PHRASES, 0).alias("water_availability"),
+        _pick(k, RESTROOM_PHRASES, 0).alias("restroom_availability"),
+        F.lit("").alias("fee_type"),
+        F.col("c_mktsegment").alias("fee_description"),
+        F.concat(F.lit("Route "), F.pmod(k, F.lit(97)).cast("string")).alias("directions"),
+        F.lit("").alias("site_directions"), F.lit("").alias("closest_towns"),
+        F.lit("").alias("operational_hours"), F.lit("").alias("rec1stop_url"),
+        F.lit("").alias("last_update"))
+
+
+def area_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known area identifiers as text (for link resolution)."""
+    return (_read(spark, sf_dir, "events").select(F.col("user_id").cast("string")
+                                                  .alias("recarea_id")).distinct())
+
+
+def _sql_tenths(t):
+    return (f"((CASE WHEN ({t}) < 0 THEN '-' ELSE '' END) || "
+            f"CAST(CAST(floor(abs({t}) / 10) AS BIGINT) AS VARCHAR) || '.' || "
+            f"CAST(abs({t}) % 10 AS VARCHAR))")
+
+
+_CP = "(CASE WHEN c.c_custkey % 10 = 1 THEN c.c_custkey - 1 ELSE c.c_custkey END)"
+
+RAW_SITES_SQL = f"""
+raw_site_records AS (
+  SELECT c.c_custkey + 2 AS source_row_number,
+    CAST(c.c_custkey AS VARCHAR) AS objectid,
+    CASE WHEN c.c_custkey % 17 = 0 THEN '  '
+         ELSE '{{G-' || lpad(CAST(c.c_custkey AS VARCHAR), 8, '0') || '}}' END AS globalid,
+    lpad(CAST(c.c_custkey AS VARCHAR), 5, '0') AS site_cn,
+    lpad(CAST(c.c_custkey % 1000 AS VARCHAR), 5, '0') AS site_id,
+    '' AS root_cn, '' AS parent_cn,
+    CASE WHEN c.c_custkey % 7 = 0 THEN '  ' || c.c_name || '  ' ELSE c.c_name END AS site_name,
+    CASE WHEN c.c_custkey % 10 <= 1 THEN 'Twin-Camp ' || CAST({_CP} AS VARCHAR)
+         WHEN c.c_custkey % 3 = 0 THEN 'Camp ' || CAST(c.c_custkey % 40 AS VARCHAR)
+         ELSE '' END AS public_site_name,
+    'Area ' || CAST(c.c_custkey % 157 AS VARCHAR) AS recarea_name,
+    {_sql_case('c.c_custkey', tuple((p, p) for p in SUBTYPE_PHRASES), 0)} AS site_subtype,
+    {_sql_case('c.c_custkey', tuple((p, p) for p in SUBTYPE_PHRASES), 0)} AS site_subtype_raw,
+    CASE WHEN c.c_custkey % 19 = 0 THEN '91' WHEN c.c_custkey % 23 = 0 THEN 'n/a'
+         ELSE {_sql_tenths(f'(({_CP} * 15485863) % 1700) - 850')} END AS latitude,
+    CASE WHEN c.c_custkey % 29 = 0 THEN '' WHEN c.c_custkey % 31 = 0 THEN '-181.5'
+         ELSE {_sql_tenths(f'(({_CP} * 32452843) % 3600) - 1800')} END AS longitude,
+    CASE c.c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '{PORTAL}?actid=29'
+         WHEN 2 THEN '{PORTAL}?recid=99999'
+         WHEN 3 THEN '{PORTAL}?RecId=' || CAST(c.c_custkey % 157 AS VARCHAR) || '&actid=29'
+         ELSE 'portal.example.gov/site?actid=7&recid=' || CAST(c.c_custkey % 157 AS VARCHAR)
+              || '#top' END AS usda_portal_url,
+    {_sql_case('c.c_custkey', FEE_PHRASES, 0)} AS fee_charged_raw,
+    {_sql_case('c.c_custkey', FEE_PHRASES, 1)} AS fee_charged,
+    CASE c.c_custkey % 4 WHEN 0 THEN CAST(c.c_custkey % 60 AS VARCHAR)
+         WHEN 1 THEN CAST(c.c_custkey % 60 AS VARCHAR) || '.50' WHEN 2 THEN 'about 20'
+         ELSE '' END AS total_capacity_raw,
+    CASE c.c_custkey % 4 WHEN 0 THEN CAST(c.c_custkey % 60 AS VARCHAR)
+         WHEN 1 THEN CAST(c.c_custkey % 60 AS VARCHAR) || '.5' ELSE '' END AS total_capacity,
+    {_sql_case('c.c_custkey', WATER_PHRASES, 0)} AS water_availability_raw,
+    {_sql_case('c.c_custkey', WATER_PHRASES, 1)} AS water_availability,
+    {_sql_case('c.c_custkey', RESTROOM_PHRASES, 0)} AS restroom_availability_raw,
+    {_sql_case('c.c_custkey', RESTROOM_PHRASES, 1)} AS restroom_availability,
+    c.c_mktsegment AS fee_description,
+    'Route ' || CAST(c.c_custkey % 97 AS VARCHAR) AS directions
+  FROM customer c),
+site_area_ids AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS recarea_id FROM events),
+routed_sites AS (
+  SELECT r.*,
+    upper(trim(regexp_replace(r.site_subtype, '\\s+', ' ', 'g'))) AS subtype_norm,
+    trim(r.globalid) AS gid,
+    CASE WHEN TRY_CAST(trim(r.latitude) AS DOUBLE) BETWEEN -90 AND 90
+         THEN TRY_CAST(trim(r.latitude) AS DOUBLE) END AS lat,
+    CASE WHEN TRY_CAST(trim(r.longitude) AS DOUBLE) BETWEEN -180 AND 180
+         THEN TRY_CAST(trim(r.longitude) AS DOUBLE) END AS lon
+  FROM raw_site_records r),
+routed_reasons AS (
+  SELECT *,
+    CASE WHEN subtype_norm NOT IN ('CAMPGROUND', 'GROUP CAMPGROUND', 'HORSE CAMP')
+           THEN 'UNSUPPORTED_SITE_SUBTYPE'
+         WHEN gid = '' THEN 'MISSING_GLOBALID'
+         WHEN lat IS NULL AND lon IS NULL THEN 'INVALID_LATITUDE_AND_LONGITUDE'
+         WHEN lat IS NULL THEN 'INVALID_LATITUDE'
+         WHEN lon IS NULL THEN 'INVALID_LONGITUDE' END AS drop_reason
+  FROM routed_sites),
+kept_sites AS (
+  SELECT *, trim(regexp_replace(usda_portal_url, '\\s+', ' ', 'g')) AS url_clean,
+    COALESCE(regexp_extract('&' || COALESCE(regexp_extract(usda_portal_url, '^[^?#]*\\?([^#]*)', 1), ''),
+                   '(?i)&recid(?:=([^&]*))?(?:&|$)', 1), '') AS recid
+  FROM routed_reasons WHERE drop_reason IS NULL),
+clean_sites AS (
+  SELECT gid AS campground_id, gid AS globalid, site_cn, site_id, objectid, root_cn, parent_cn,
+    COALESCE(NULLIF(trim(regexp_replace(public_site_name, '\\s+', ' ', 'g')), ''),
+             NULLIF(trim(regexp_replace(site_name, '\\s+', ' ', 'g')), ''),
+             NULLIF(trim(regexp_replace(recarea_name, '\\s+', ' ', 'g')), ''), '') AS name,
+    trim(regexp_replace(public_site_name, '\\s+', ' ', 'g')) AS public_site_name,
+    trim(regexp_replace(site_name, '\\s+', ' ', 'g')) AS site_name,
+    recarea_name, subtype_norm AS site_subtype, site_subtype_raw,
+    CASE WHEN recid <> '' AND recid IN (SELECT recarea_id FROM site_area_ids) THEN recid
+         ELSE '' END AS recarea_id,
+    recid AS recid_extracted, fee_charged, COALESCE(fee_charged_raw, '') AS fee_charged_raw,
+    '' AS fee_type, fee_description, total_capacity, total_capacity_raw,
+    water_availability, COALESCE(water_availability_raw, '') AS water_availability_raw,
+    restroom_availability, COALESCE(restroom_availability_raw, '') AS restroom_availability_raw,
+    directions, '' AS site_directions, '' AS closest_towns, '' AS operational_hours,
+    url_clean AS official_url, url_clean AS usda_portal_url, '' AS rec1stop_url,
+    trim(latitude) AS latitude, trim(longitude) AS longitude, '' AS last_update
+  FROM kept_sites)
+"""
