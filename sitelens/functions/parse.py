@@ -90,7 +90,7 @@ def make_entity_id(name, prefix: str = DEFAULT_ID_PREFIX,
 def parse_long_date(col, decode_entities: bool = True) -> Column:
     """'December 20, 2019[112]' -> DATE 2019-12-20; anything else NULL."""
     t = remove_citation_markers(col, decode_entities)
-    return F.when(t != "", F.try_to_date(t, F.lit("MMMM d, yyyy")))
+    return F.when(t != "", F.try_to_date(t, "MMMM d, yyyy"))
 
 
 ACREAGE_PATTERN = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*acres?\b"
@@ -134,7 +134,7 @@ def _in_range(lat: Column, lon: Column) -> Column:
 def parse_coordinates(col, decode_entities: bool = True) -> Column:
     """struct<latitude double, longitude double>; both NULL when unparsable."""
     text = normalize_park_text(col, decode_entities)
-    last = F.element_at(F.regexp_extract_all(text, F.lit(DECIMAL_PAIR), F.lit(0)), -1)
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(DECIMAL_PAIR), F.lit(0)), F.lit(-1))
     has_dec = F.coalesce(F.size(F.regexp_extract_all(text, F.lit(DECIMAL_PAIR), F.lit(0))) > 0,
                          F.lit(False))
 
@@ -174,6 +174,53 @@ def parse_location(col, decode_entities: bool = True) -> Column:
                     coords["longitude"].alias("longitude"))
 
 
+def with_location(df, src: str, out: str = "_loc", decode_entities: bool = True):
+    """DataFrame transform adding struct ``out`` <label, latitude, longitude>
+    parsed from column ``src``. Same rules as ``parse_location``, staged in
+    successive projections so each regex runs once per row and generated
+    code stays small."""
+    t = f"{out}_t"
+    s1 = df.select("*", normalize_park_text(F.col(src), decode_entities).alias(t))
+    tc = F.col(t)
+    dec = [F.try_element_at(F.regexp_extract_all(tc, F.lit(DECIMAL_PAIR), F.lit(i)), F.lit(-1))
+           .alias(f"{out}_d{i}") for i in range(1, 5)]
+    dms = [F.regexp_extract(tc, DMS_PAIR, i).alias(f"{out}_m{i}") for i in range(1, 9)]
+    pos = F.regexp_instr(tc, F.lit(COORDINATE_START))
+    s2 = s1.select("*", *dec, *dms,
+                   F.when(pos > 0, F.substring(tc, F.lit(1), pos - 1)).otherwise(tc)
+                   .alias(f"{out}_lsrc"))
+
+    def c(n):
+        return F.col(f"{out}_{n}")
+
+    def num(n):
+        return F.when(c(n) == "", F.lit(0.0)).otherwise(c(n).cast("double"))
+
+    s3 = s2.select(
+        "*",
+        F.coalesce(c("d1").isNotNull(), F.lit(False)).alias(f"{out}_hasdec"),
+        _directed(c("d1").cast("double"), c("d2")).alias(f"{out}_dlat"),
+        _directed(c("d3").cast("double"), c("d4")).alias(f"{out}_dlon"),
+        (c("m1") != "").alias(f"{out}_hasdms"),
+        ((num("m2") < 60) & (num("m3") < 60) & (num("m6") < 60) & (num("m7") < 60))
+        .alias(f"{out}_mok"),
+        _directed(num("m1") + num("m2") / 60 + num("m3") / 3600, c("m4")).alias(f"{out}_mlat"),
+        _directed(num("m5") + num("m6") / 60 + num("m7") / 3600, c("m8")).alias(f"{out}_mlon"))
+    dec_ok = _in_range(c("dlat"), c("dlon"))
+    dms_ok = c("mok") & _in_range(c("mlat"), c("mlon"))
+    pick = F.when(c("hasdec"), F.when(dec_ok, F.lit(1))).when(c("hasdms") & dms_ok, F.lit(2))
+    s4 = s3.select("*", pick.alias(f"{out}_pick"))
+    lat = F.when(c("pick") == 1, c("dlat")).when(c("pick") == 2, c("mlat"))
+    lon = F.when(c("pick") == 1, c("dlon")).when(c("pick") == 2, c("mlon"))
+    helpers = [t, f"{out}_lsrc", f"{out}_hasdec", f"{out}_dlat", f"{out}_dlon", f"{out}_hasdms",
+               f"{out}_mok", f"{out}_mlat", f"{out}_mlon", f"{out}_pick"]
+    helpers += [f"{out}_d{i}" for i in range(1, 5)] + [f"{out}_m{i}" for i in range(1, 9)]
+    res = s4.select("*", F.struct(
+        clean_location_label(c("lsrc"), decode_entities=False).alias("label"),
+        lat.alias("latitude"), lon.alias("longitude")).alias(out))
+    return res.drop(*helpers)
+
+
 # --- typed-load converters (text to column type at table load)
 
 def null_if_missing(col) -> Column:

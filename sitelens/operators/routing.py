@@ -188,13 +188,69 @@ def relationship_routing(df: DataFrame, left_key: str, right_key: str,
 
 def parse_failures(df: DataFrame, key_cols: Sequence[str],
                    checks: Sequence[tuple]) -> DataFrame:
-    """One row per (record, field) whose parser failed on a non-blank value.
-    ``checks`` holds (source_field, raw column, parsed Column, reason)."""
-    items = [F.when(F.col(raw).isNotNull() & (F.trim(F.col(raw)) != "") & parsed.isNull(),
+    """One row per (record, failed check); the record itself stays in the
+    main output. ``checks`` holds (source_field, raw column, failed
+    condition, reason); a failed check emits the raw value ('' for NULL)."""
+    items = [F.when(F.coalesce(failed, F.lit(False)),
                     F.struct(F.lit(field_name).alias("source_field"),
-                             F.col(raw).alias("raw_value"),
+                             F.coalesce(F.col(raw), F.lit("")).alias("raw_value"),
                              F.lit(reason).alias("failure_reason")))
-             for field_name, raw, parsed, reason in checks]
+             for field_name, raw, failed, reason in checks]
     arr = F.filter(F.array(*items), lambda x: x.isNotNull())
     return (df.select(*key_cols, F.explode(arr).alias("_f"))
             .select(*key_cols, "_f.source_field", "_f.raw_value", "_f.failure_reason"))
+
+
+# Fixed values that must equal the reference: source headers of the parks
+# table (they name the failing field) and its failure reasons.
+PARK_FIELDS = {"name": "Name", "location": "Location",
+               "established": "Date established as park[7][12]",
+               "area": "Area (2021)[13]", "visitors": "Recreation visitors (2021)[11]",
+               "description": "Description"}
+
+
+def clean_parks(raw: DataFrame, id_prefix: str = PR.DEFAULT_ID_PREFIX) -> CleanResult:
+    """Parks job: names, ids, location label and coordinates, date, area,
+    visitors; rows without a name are dropped, other parse failures are
+    reported per field while the row is kept.
+
+    ``raw`` has text columns name, location, established, area, visitors,
+    description and source_row_number."""
+    parsed = PR.with_location(raw, "location", "_loc").select(
+        "*",
+        TX.clean_park_name(_s("name")).alias("_name"),
+        PR.parse_long_date(_s("established")).alias("_date"),
+        PR.parse_acreage(_s("area")).alias("_acres"),
+        PR.parse_visitors(_s("visitors")).alias("_visitors"),
+        TX.remove_citation_markers(_s("description")).alias("_description"))
+    parsed = parsed.select("*", PR.make_entity_id(_s("_name"), id_prefix,
+                                                  decode_entities=False).alias("_park_id"))
+    named = parsed.where(_s("_name") != "")
+    parks = named.select(
+        "source_row_number",
+        _s("_park_id").alias("park_id"), _s("_name").alias("name"),
+        _s("_loc.label").alias("state_or_territory"),
+        _s("_loc.latitude").alias("latitude"), _s("_loc.longitude").alias("longitude"),
+        _s("_date").alias("established_date"), _s("_acres").alias("area_acres"),
+        _s("_visitors").alias("recreation_visitors_2021"),
+        _s("_description").alias("description"))
+    keys = ["source_row_number", "park_id", "name"]
+    named_k = (named.drop("name").withColumnRenamed("_park_id", "park_id")
+               .withColumnRenamed("_name", "name"))
+    field_failures = parse_failures(named_k, keys, [
+        (PARK_FIELDS["location"], "location", _s("_loc.label") == "", "MISSING_LOCATION_TEXT"),
+        (PARK_FIELDS["location"], "location",
+         _s("_loc.latitude").isNull() | _s("_loc.longitude").isNull(),
+         "UNPARSEABLE_OR_OUT_OF_RANGE_COORDINATES"),
+        (PARK_FIELDS["established"], "established", _s("_date").isNull(), "UNPARSEABLE_DATE"),
+        (PARK_FIELDS["area"], "area", _s("_acres").isNull(), "UNPARSEABLE_ACREAGE"),
+        (PARK_FIELDS["visitors"], "visitors", _s("_visitors").isNull(),
+         "UNPARSEABLE_VISITOR_COUNT"),
+    ])
+    missing = parsed.where(_s("_name") == "").select(
+        "source_row_number", F.lit("").alias("park_id"), F.lit("").alias("name"),
+        F.lit(PARK_FIELDS["name"]).alias("source_field"),
+        F.coalesce(_s("name"), F.lit("")).alias("raw_value"),
+        F.lit("MISSING_PARK_NAME").alias("failure_reason"))
+    return CleanResult(tables={"parks": parks},
+                       audits={"failures": missing.unionByName(field_failures)})

@@ -416,3 +416,67 @@ clean_sites AS (
     trim(latitude) AS latitude, trim(longitude) AS longitude, '' AS last_update
   FROM kept_sites)
 """
+
+
+# English month names (the date parser reads full names).
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August",
+          "September", "October", "November", "December")
+CSS_NOISE = ".mw-parser-output .geo-default{display:inline}"
+
+
+def _hemi_text(t, pos, neg):
+    """'44.3°N' style text of a signed tenths value."""
+    a = F.abs(t)
+    return F.concat(F.floor(a / 10).cast("bigint").cast("string"), F.lit("."),
+                    F.pmod(a, F.lit(10)).cast("string"), F.lit("°"),
+                    F.when(t < 0, F.lit(neg)).otherwise(F.lit(pos)))
+
+
+def _dms_text(t, pos, neg):
+    """'44°18′N' style text: tenths of a degree as minutes (x 6)."""
+    a = F.abs(t)
+    return F.concat(F.floor(a / 10).cast("bigint").cast("string"), F.lit("°"),
+                    (F.pmod(a, F.lit(10)) * 6).cast("string"), F.lit("′"),
+                    F.when(t < 0, F.lit(neg)).otherwise(F.lit(pos)))
+
+
+def raw_park_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Park rows as encyclopedia-style text, one per supplier."""
+    s = _read(spark, sf_dir, "supplier")
+    s = s.join(F.broadcast(nations(spark, sf_dir)), s.s_nationkey == F.col("n_nationkey"),
+               "left")
+    k = F.col("s_suppkey")
+    la = F.pmod(k * F.lit(7919), F.lit(1700)) - 850
+    lo = F.pmod(k * F.lit(104729), F.lit(3600)) - 1800
+    dec = F.concat(_hemi_text(la, "N", "S"), F.lit(" "), _hemi_text(lo, "E", "W"))
+    dms = F.concat(_dms_text(la, "N", "S"), F.lit(" "), _dms_text(lo, "E", "W"))
+    nation = F.coalesce(F.col("n_name"), F.lit(""))
+    m4, m3, m9 = F.pmod(k, F.lit(4)), F.pmod(k, F.lit(3)), F.pmod(k, F.lit(9))
+    acres = F.pmod(k * F.lit(7919), F.lit(10000000))
+    visitors = F.pmod(k * F.lit(104729), F.lit(5000000))
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]),
+                         (F.pmod(k, F.lit(12)) + 1).cast("int"))
+    return s.select(
+        (k + 2).alias("source_row_number"),
+        F.when(m9 == 0, F.lit(""))
+        .when(m9 == 1, F.concat(F.lit(" "), F.col("s_name"), F.lit(" **")))
+        .when(m9 == 2, F.concat(F.col("s_name"), F.lit(" &amp; Preserve")))
+        .otherwise(F.col("s_name")).alias("name"),
+        F.when(m4 == 0, F.concat(nation, F.lit(CSS_NOISE), dms, F.lit(" / "), dec))
+        .when(m4 == 1, F.concat(nation, F.lit(" "), dms, F.lit(" / "), dec))
+        .when(m4 == 2, F.concat(nation, F.lit(" "), dms))
+        .otherwise(F.lit("Unknown location")).alias("location"),
+        F.when(m3 == 0, F.concat(month, F.lit(" "), (F.pmod(k, F.lit(28)) + 1).cast("string"),
+                                 F.lit(", "), (F.pmod(k, F.lit(120)) + 1900).cast("string"),
+                                 F.lit("["), F.pmod(k, F.lit(100)).cast("string"), F.lit("]")))
+        .when(m3 == 1, F.lit("not a date")).otherwise(F.lit("")).alias("established"),
+        F.when(m4 == 0, F.concat(F.format_number(acres, 0), F.lit("."),
+                                 F.lpad(F.pmod(k, F.lit(100)).cast("string"), 2, "0"),
+                                 F.lit(" acres (12.5 km2)")))
+        .when(m4 == 1, F.concat(acres.cast("string"), F.lit(" acres")))
+        .when(m4 == 2, F.lit("unknown"))
+        .otherwise(F.concat(F.format_number(acres, 0), F.lit(" acre"))).alias("area"),
+        F.when(m3 == 0, F.format_number(visitors, 0)).when(m3 == 1, F.lit("12.5"))
+        .otherwise(visitors.cast("string")).alias("visitors"),
+        F.concat(F.lit("Founded ["), F.pmod(k, F.lit(50)).cast("string"), F.lit("] near "),
+                 F.col("s_name")).alias("description"))
