@@ -1 +1,155 @@
-"""placeholder"""
+"""Profiling queries over driver tables (values profiled as text)."""
+
+from __future__ import annotations
+
+from ..operators import profile as PF
+from ..session import table_path
+from .catalog import register
+
+PROFILED = (("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
+            ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                        "o_orderdate", "o_orderpriority")))
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def _cells_sql(table, cols):
+    parts = [f"SELECT {i + 1} AS column_position, '{c}' AS column_name, "
+             f"CAST({c} AS VARCHAR) AS value, rn FROM numbered_{table}"
+             for i, c in enumerate(cols)]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _profile_sql(table, cols):
+    ident = [c for c in cols if PF.is_identifier_name(c)]
+    ident_sql = ("column_name IN (" + ", ".join(f"'{c}'" for c in ident) + ")") if ident else "FALSE"
+    bools = ", ".join(f"'{b}'" for b in PF.BOOLEAN_WORDS)
+    pres = "(value IS NOT NULL AND trim(value) <> '')"
+    return f"""
+numbered_{table} AS (SELECT *, ROW_NUMBER() OVER () - 1 AS rn FROM {table}),
+counts_{table} AS (
+  SELECT column_position, column_name, value, COUNT(*) AS n, MIN(rn) AS first_row
+  FROM ({_cells_sql(table, cols)}) c GROUP BY column_position, column_name, value),
+stats_{table} AS (
+  SELECT column_position, column_name, CAST(SUM(n) AS BIGINT) AS row_count,
+    CAST(SUM(CASE WHEN {pres} THEN n ELSE 0 END) AS BIGINT) AS non_missing_count,
+    CAST(COUNT(CASE WHEN {pres} THEN value END) AS BIGINT) AS distinct_count,
+    CAST(MAX(length(COALESCE(value, ''))) AS BIGINT) AS maximum_text_length,
+    COALESCE(bool_and(CASE WHEN {pres} THEN upper(value) IN ({bools}) END), TRUE) AS b_bool,
+    COALESCE(bool_and(CASE WHEN {pres} THEN regexp_matches(value, '{PF.INTEGER_PATTERN}') END), TRUE) AS b_int,
+    COALESCE(bool_or(CASE WHEN {pres} THEN regexp_matches(value, '{PF.LEADING_ZERO_PATTERN}')
+        AND regexp_replace(value, '[+-]?0+', '', 'g') <> '' END), FALSE) AS b_lead0,
+    COALESCE(bool_and(CASE WHEN {pres} THEN regexp_matches(value, '{PF.INTEGER_PATTERN}')
+        OR regexp_matches(value, '{PF.FLOAT_PATTERN}') END), TRUE) AS b_num,
+    COALESCE(bool_and(CASE WHEN {pres} THEN regexp_matches(value, '{PF.ISO_DATETIME_PATTERN}') END), TRUE) AS b_dt,
+    COALESCE(bool_and(CASE WHEN {pres} THEN regexp_matches(value, '{PF.ISO_DATE_PATTERN}') END), TRUE) AS b_d,
+    COALESCE(bool_and(CASE WHEN {pres} THEN try_strptime(value, '%B %d, %Y') IS NOT NULL END), TRUE) AS b_ld
+  FROM counts_{table} GROUP BY column_position, column_name),
+samples_{table} AS (
+  SELECT column_position, column_name, string_agg(value, '|' ORDER BY r) AS sample_values FROM (
+    SELECT column_position, column_name, value,
+           ROW_NUMBER() OVER (PARTITION BY column_position, column_name ORDER BY first_row, value) AS r
+    FROM counts_{table} WHERE {pres}) s WHERE r <= {PF.SAMPLE_LIMIT}
+  GROUP BY column_position, column_name),
+profile_{table} AS (
+  SELECT '{table}' AS dataset, s.column_position, s.column_name,
+    CASE WHEN distinct_count = 0 THEN 'empty' WHEN {ident_sql} THEN 'string'
+         WHEN b_bool THEN 'boolean' WHEN b_int AND b_lead0 THEN 'string' WHEN b_int THEN 'integer'
+         WHEN b_num THEN 'float' WHEN b_dt THEN 'datetime' WHEN b_d OR b_ld THEN 'date'
+         ELSE 'string' END AS inferred_data_type,
+    row_count, non_missing_count, row_count - non_missing_count AS missing_count,
+    round(CASE WHEN row_count > 0 THEN (row_count - non_missing_count) * 100.0 / row_count
+               ELSE 0.0 END, 6) AS missing_percentage,
+    distinct_count, COALESCE(p.sample_values, '') AS sample_values, maximum_text_length
+  FROM stats_{table} s LEFT JOIN samples_{table} p
+    ON p.column_position = s.column_position AND p.column_name = s.column_name)"""
+
+
+@register("column_profile", "WITH " + ",".join(_profile_sql(t, c) for t, c in PROFILED)
+          + "\n" + "\nUNION ALL\n".join(f"SELECT * FROM profile_{t}" for t, _ in PROFILED))
+def q_column_profile(spark, sf_dir):
+    out = None
+    for table, cols in PROFILED:
+        p = PF.column_profile(_t(spark, sf_dir, table).select(*cols), table)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+_LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_returnflag", "l_linestatus")
+
+
+def _key_single_sql(col):
+    pres = f"({col} IS NOT NULL AND trim(CAST({col} AS VARCHAR)) <> '')"
+    return f"""SELECT '{col}' AS candidate, 1 AS column_count, COUNT(*) AS row_count,
+  COUNT(*) FILTER (WHERE NOT {pres}) AS missing_key_rows,
+  COUNT(DISTINCT CASE WHEN {pres} THEN CAST({col} AS VARCHAR) END) AS distinct_non_missing_count
+FROM lineitem"""
+
+
+@register("key_analysis", f"""
+SELECT 'lineitem' AS dataset, candidate, column_count, CAST(row_count AS BIGINT) AS row_count,
+  CAST(row_count - missing_key_rows AS BIGINT) AS non_missing_key_rows,
+  CAST(missing_key_rows AS BIGINT) AS missing_key_rows,
+  CAST(distinct_non_missing_count AS BIGINT) AS distinct_non_missing_count,
+  CAST(row_count - missing_key_rows - distinct_non_missing_count AS BIGINT)
+    AS duplicate_non_missing_rows,
+  (row_count - missing_key_rows > 0 AND distinct_non_missing_count = row_count - missing_key_rows)
+    AS is_unique_among_non_missing,
+  (row_count > 0 AND missing_key_rows = 0) AS is_complete,
+  (row_count > 0 AND missing_key_rows = 0 AND row_count - missing_key_rows > 0
+   AND distinct_non_missing_count = row_count - missing_key_rows) AS is_candidate_key
+FROM ({' UNION ALL '.join(_key_single_sql(c) for c in _LI_COLS)}
+  UNION ALL
+  SELECT 'l_orderkey,l_linenumber', 2, COUNT(*), 0,
+         (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d)
+  FROM lineitem) k""")
+def q_key_analysis(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select(*_LI_COLS)
+    return PF.key_analysis(li, "lineitem", [("l_orderkey", "l_linenumber")])
+
+
+@register("duplicate_rows", """
+SELECT 'documents' AS dataset, CAST(COUNT(*) AS BIGINT) AS exact_duplicate_group_count,
+  CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS exact_duplicate_row_count,
+  CAST(COALESCE(SUM(n), 0) AS BIGINT) AS exact_duplicate_rows_involved
+FROM (SELECT COUNT(*) AS n FROM documents GROUP BY text, lang, source, n_chars
+      HAVING COUNT(*) > 1) g""")
+def q_duplicate_rows(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars")
+    return PF.duplicate_rows(d, "documents")
+
+
+@register("value_frequencies", """
+SELECT p_name AS value, CAST(COUNT(*) AS BIGINT) AS count FROM part
+WHERE p_name IS NOT NULL AND trim(p_name) <> ''
+GROUP BY p_name ORDER BY count DESC, value LIMIT 20""")
+def q_value_frequencies(spark, sf_dir):
+    return PF.top_values(_t(spark, sf_dir, "part"), "p_name", 20)
+
+
+@register("fd_violations", """
+WITH pairs AS (SELECT DISTINCT p_name AS determinant, CAST(p_partkey AS VARCHAR) AS dependent
+               FROM part WHERE p_name IS NOT NULL AND trim(p_name) <> ''),
+     c AS (SELECT determinant, COUNT(*) AS n FROM pairs GROUP BY determinant HAVING COUNT(*) > 1)
+SELECT p.determinant, p.dependent, CAST(c.n AS BIGINT) AS n_dependents
+FROM pairs p JOIN c ON c.determinant = p.determinant""")
+def q_fd_violations(spark, sf_dir):
+    return PF.fd_violations(_t(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+@register("name_flags", """
+SELECT CAST(COUNT(*) FILTER (WHERE regexp_matches(t, '\\*')) AS BIGINT) AS star_count,
+  CAST(COUNT(*) FILTER (WHERE regexp_matches(t, '\\[\\s*\\d+')) AS BIGINT) AS citation_count,
+  CAST(COUNT(*) FILTER (WHERE ws) AS BIGINT) AS unusual_whitespace_count,
+  CAST(COUNT(*) FILTER (WHERE regexp_matches(t, '\\*') OR regexp_matches(t, '\\[\\s*\\d+') OR ws)
+       AS BIGINT) AS flagged_count
+FROM (SELECT COALESCE(text, '') AS t,
+        (regexp_matches(COALESCE(text, ''), '^ | $|  ')
+         OR regexp_matches(COALESCE(text, ''), '[\\p{Cf}\\p{Zl}\\p{Zp}]')
+         OR regexp_matches(replace(COALESCE(text, ''), ' ', ''), '\\p{Zs}')) AS ws
+      FROM documents) d""")
+def q_name_flags(spark, sf_dir):
+    return PF.name_flags(_t(spark, sf_dir, "documents"), "text")
