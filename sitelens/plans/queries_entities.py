@@ -14,7 +14,7 @@ ENTITY_ATTRS = ("event_type", "props")
 
 
 def _events(spark, sf_dir):
-    return spark.read.parquet(table_path(sf_dir, "events"))
+    return P.read_table(spark, sf_dir, "events")
 
 
 _VC_SQL = """
@@ -65,7 +65,7 @@ FROM (SELECT source, lang, COUNT(*) AS n FROM documents
 GROUP BY source HAVING COUNT(*) > 1""")
 def q_lang_value_counts(spark, sf_dir):
     # Languages form a small fixed vocabulary, so the per-source JSON is bounded.
-    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    docs = P.read_table(spark, sf_dir, "documents")
     return EN.ordered_value_counts_text(EN.conflict_value_counts(docs, "source", ["lang"]))
 
 
@@ -116,9 +116,8 @@ def _clean(spark, sf_dir):
 
 
 def _sites_sql(select_sql: str) -> str:
-    return with_domain(",\n" + P.RAW_SITES_SQL.strip() + "\n" + select_sql
-                       ).replace("WITH ,", "WITH ", 1) if False else (
-        "WITH " + P.ORACLE_CTES.strip() + ",\n" + P.RAW_SITES_SQL.strip() + "\n" + select_sql)
+    return ("WITH " + P.ORACLE_CTES.strip() + ",\n" + P.RAW_SITES_SQL.strip() + "\n"
+            + select_sql)
 
 
 @register("quarantine_routing", _sites_sql("""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import profile as PF
+from ..sources import projection as P
 from ..session import table_path
 from .catalog import register
 
@@ -12,7 +13,7 @@ PROFILED = (("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_
 
 
 def _t(spark, sf_dir, name):
-    return spark.read.parquet(table_path(sf_dir, name))
+    return P.read_table(spark, sf_dir, name)
 
 
 def _cells_sql(table, cols):

@@ -13,7 +13,7 @@ from .queries_search import (ALL_ACTIVITIES, MATRIX_RADIUS_KM, q_distance_matrix
 
 
 def _t(spark, sf_dir, name):
-    return spark.read.parquet(table_path(sf_dir, name))
+    return P.read_table(spark, sf_dir, name)
 
 
 _MATRIX_SQL = f"""(SELECT park_id, campground_id, distance_km FROM (

@@ -118,7 +118,7 @@ SELECT page_id, {_param_sql('page')} AS page_param, {_param_sql('ref')} AS ref_p
 FROM pages""")
 def q_url_params(spark, sf_dir):
     from ..operators.search import safe_http_url
-    p = spark.read.parquet(table_path(sf_dir, "pages"))
+    p = P.read_table(spark, sf_dir, "pages")
     return p.select("page_id", PR.extract_query_param("url", "page").alias("page_param"),
                     PR.extract_query_param("url", "ref").alias("ref_param"),
                     safe_http_url(F.col("url")).alias("safe_url"))
@@ -128,5 +128,5 @@ def q_url_params(spark, sf_dir):
 def q_html_text(spark, sf_dir):
     """Visible text of every page (entities decoded, script/style dropped).
     Python's HTML parser runs in an Arrow-batched UDF; no SQL equivalent."""
-    p = spark.read.parquet(table_path(sf_dir, "pages"))
+    p = P.read_table(spark, sf_dir, "pages")
     return p.select("page_id", TX.html_to_text("html").alias("text"))

@@ -63,10 +63,33 @@ def _pick(key, phrases, idx: int):
     return F.element_at(arr, (F.pmod(key, F.lit(len(phrases))) + 1).cast("int"))
 
 
+_MEMO: dict = {}
+
+
+def memoized(fn):
+    """Reuse the DataFrame (an immutable plan) per session and directory, so
+    file listing, footer reads and analysis happen once per process."""
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (spark.sparkContext.applicationId, id(spark), fn.__name__, sf_dir, args)
+        df = _MEMO.get(key)
+        if df is None:
+            df = _MEMO[key] = fn(spark, sf_dir, *args)
+        return df
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@memoized
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (shared, memoised scan definition)."""
+    return _read(spark, sf_dir, name)
+
+
 def _lat(key, mult):
     return (F.pmod(key * F.lit(mult), F.lit(1700)).cast("double") / 10 - 85)
 
@@ -75,11 +98,13 @@ def _lon(key, mult):
     return (F.pmod(key * F.lit(mult), F.lit(3600)).cast("double") / 10 - 180)
 
 
+@memoized
 def nations(spark, sf_dir) -> DataFrame:
     # 25 rows by definition of the schema: a fixed-size dimension.
     return _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
 
+@memoized
 def parks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
@@ -90,6 +115,7 @@ def parks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _lat(k, 7919).alias("latitude"), _lon(k, 104729).alias("longitude")))
 
 
+@memoized
 def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty source rows: text fields as a source system would deliver them."""
     c = _read(spark, sf_dir, "customer")
@@ -120,6 +146,7 @@ def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
                 _lon(k, 32452843).alias("longitude")))
 
 
+@memoized
 def campgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned campgrounds: categories computed by the cleaning functions."""
     r = raw_sites(spark, sf_dir).select(
@@ -141,6 +168,7 @@ def campgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "latitude", "longitude", "official_url")
 
 
+@memoized
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").select("user_id").distinct()
     u = F.col("user_id")
@@ -152,6 +180,7 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(u, F.lit(3)) == 0, "Closed").otherwise("Open").alias("open_status"))
 
 
+@memoized
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").select("event_type").distinct()
     t = F.col("event_type")
@@ -162,6 +191,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("All activities").alias("parent_activity_name"))
 
 
+@memoized
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     return (e.where(F.col("value") >= BRIDGE_MIN_VALUE)
@@ -169,10 +199,22 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+class _Domain(dict):
+    """Domain tables built on first access."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name):
+        builders = {"parks": parks, "campgrounds": campgrounds, "areas": areas,
+                    "activities": activities, "bridge": bridge}
+        df = self[name] = builders[name](self._spark, self._dir)
+        return df
+
+
 def domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"parks": parks(spark, sf_dir), "campgrounds": campgrounds(spark, sf_dir),
-            "areas": areas(spark, sf_dir), "activities": activities(spark, sf_dir),
-            "bridge": bridge(spark, sf_dir)}
+    return _Domain(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -265,6 +307,7 @@ def _tenths_text(t):
                     F.pmod(a, F.lit(10)).cast("string"))
 
 
+@memoized
 def raw_site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site rows as all-text source records (column names of the source feed).
     Pairs (10j, 10j+1) share a name and a position: duplicate candidates."""
@@ -320,6 +363,7 @@ def raw_site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("last_update"))
 
 
+@memoized
 def area_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known area identifiers as text (for link resolution)."""
     return (_read(spark, sf_dir, "events").select(F.col("user_id").cast("string")
@@ -440,6 +484,7 @@ def _dms_text(t, pos, neg):
                     F.when(t < 0, F.lit(neg)).otherwise(F.lit(pos)))
 
 
+@memoized
 def raw_park_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Park rows as encyclopedia-style text, one per supplier."""
     s = _read(spark, sf_dir, "supplier")
