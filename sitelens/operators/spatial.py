@@ -32,9 +32,11 @@ _ROUNDING_MARGIN_KM = 1e-6
 # Half the Earth's circumference: beyond it every pair qualifies.
 MAX_SPHERE_KM = math.pi * EARTH_RADIUS_KM
 
-_NEIGHBOURS = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
-                                 F.lit(dz).alias("dz"))
-                        for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)])
+def _neighbours():
+    """The 27 cell offsets (-1..1 on each axis) as an array literal."""
+    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
+                              F.lit(dz).alias("dz"))
+                     for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)])
 
 
 def _cell_cols(lat: str, lon: str, width: float):
@@ -49,7 +51,7 @@ def with_cell(df: DataFrame, lat: str, lon: str, width: float) -> DataFrame:
 
 def with_neighbour_cells(df: DataFrame, lat: str, lon: str, width: float) -> DataFrame:
     base = with_cell(df, lat, lon, width)
-    n = base.select("*", F.explode(_NEIGHBOURS).alias("_nb"))
+    n = base.select("*", F.explode(_neighbours()).alias("_nb"))
     return n.select(*[c for c in base.columns if c not in ("_cx", "_cy", "_cz")],
                     (F.col("_cx") + F.col("_nb.dx")).alias("_cx"),
                     (F.col("_cy") + F.col("_nb.dy")).alias("_cy"),
