@@ -77,8 +77,8 @@ def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
     keys = ["_cx", "_cy", "_cz"]
     if salt_key is not None and salt_buckets > 1:
         b = b.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_key)), F.lit(salt_buckets)))
-        p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                         .cast("bigint"))
+        p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                       F.lit(salt_buckets - 1).cast("bigint"))))
         keys.append("_salt")
     cond = [p[k] == b[k] for k in keys]
     joined = p.join(b, cond, "inner")
