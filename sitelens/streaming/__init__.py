@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload is batch only (file sources, cleaning jobs, parameterised
+queries); there is no stream source, watermark or stateful operator to
+rebuild.
+"""
