@@ -31,6 +31,8 @@ from ..session import ensure_checkpoint_dir
 _ROUNDING_MARGIN_KM = 1e-6
 # Half the Earth's circumference: beyond it every pair qualifies.
 MAX_SPHERE_KM = math.pi * EARTH_RADIUS_KM
+# Largest probe (in exploded cell rows) broadcast on a caller-proven bound.
+BROADCAST_ROWS = 100_000
 
 def _neighbours():
     """The 27 cell offsets (-1..1 on each axis) as an array literal."""
@@ -61,13 +63,17 @@ def with_neighbour_cells(df: DataFrame, lat: str, lon: str, width: float) -> Dat
 def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
                 probe_lat: str, probe_lon: str, build_lat: str, build_lon: str,
                 distance_col: str = "distance_km", salt_key: str | None = None,
-                salt_buckets: int = 1, extra_condition=None) -> DataFrame:
+                salt_buckets: int = 1, extra_condition=None,
+                probe_rows_bound: int | None = None) -> DataFrame:
     """All (probe, build) row pairs whose rounded great-circle distance is
     <= ``radius_km`` (inclusive), with that distance in ``distance_col``.
 
     Column names of the two inputs must not collide. ``salt_key`` (a build
     column) with ``salt_buckets`` > 1 spreads each cell of the build side
     over that many join keys; the probe side is replicated per salt value.
+    ``probe_rows_bound``: a caller-proven upper bound on probe rows (e.g. one
+    primary-key value); when it is small the 27 x bound probe cells are
+    broadcast, so the build side is streamed and never shuffled.
     """
     if radius_km < 0 or math.isnan(radius_km):
         raise ValueError("radius_km must be a non-negative number")
@@ -81,6 +87,8 @@ def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
                                                        F.lit(salt_buckets - 1).cast("bigint"))))
         keys.append("_salt")
     cond = [p[k] == b[k] for k in keys]
+    if probe_rows_bound is not None and probe_rows_bound * 27 * salt_buckets <= BROADCAST_ROWS:
+        p = F.broadcast(p)
     joined = p.join(b, cond, "inner")
     dist = rounded_km(haversine_km(p[probe_lat], p[probe_lon], b[build_lat], b[build_lon]))
     out_cols = ([p[c] for c in probe.columns] + [b[c] for c in build.columns]
