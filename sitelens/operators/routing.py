@@ -216,15 +216,17 @@ def clean_parks(raw: DataFrame, id_prefix: str = PR.DEFAULT_ID_PREFIX) -> CleanR
 
     ``raw`` has text columns name, location, established, area, visitors,
     description and source_row_number."""
-    parsed = PR.with_location(raw, "location", "_loc").select(
+    parsed = raw.select(
         "*",
         TX.clean_park_name(_s("name")).alias("_name"),
         PR.parse_long_date(_s("established")).alias("_date"),
         PR.parse_acreage(_s("area")).alias("_acres"),
         PR.parse_visitors(_s("visitors")).alias("_visitors"),
         TX.remove_citation_markers(_s("description")).alias("_description"))
-    parsed = parsed.select("*", PR.make_entity_id(_s("_name"), id_prefix,
-                                                  decode_entities=False).alias("_park_id"))
+    parsed = PR.with_location(
+        parsed.select("*", PR.make_entity_id(_s("_name"), id_prefix,
+                                             decode_entities=False).alias("_park_id")),
+        "location", "_loc")
     named = parsed.where(_s("_name") != "")
     parks = named.select(
         "source_row_number",
