@@ -158,12 +158,18 @@ class CleanResult:
     audits: dict = field(default_factory=dict)
 
 
-def clean_sites(raw: DataFrame, area_ids: DataFrame) -> CleanResult:
-    """Campground cleaning: route, conform, link, audit. Lazy; the caller
-    decides what to materialise."""
+def clean_sites(raw: DataFrame, area_ids: DataFrame, materialize: bool = False) -> CleanResult:
+    """Campground cleaning: route, conform, link, audit. Lazy by default.
+    With ``materialize`` the conformed rows are checkpointed (reliable, to
+    the session's checkpoint dir) once, and every output reads them instead
+    of re-parsing the source per output."""
     routed = route_sites(raw)
     kept = routed.where(F.col("drop_reason").isNull())
     camps = conform_sites(kept, area_ids)
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(raw.sparkSession)
+        camps = camps.checkpoint(eager=True)
     return CleanResult(
         tables={"campgrounds": camps},
         audits={"dropped": dropped_sites(routed), "unmatched": unmatched_sites(camps),

@@ -136,7 +136,7 @@ def run_campgrounds(spark: SparkSession, source: str, areas: DataFrame) -> R.Cle
     raw = CSV.read_contract_csv(spark, source, required=SITE_REQUIRED_COLUMNS)
     area_ids = areas.select(F.col("RECAREAID").alias("recarea_id")) \
         if "RECAREAID" in areas.columns else areas.select("recarea_id")
-    res = R.clean_sites(raw, area_ids)
+    res = R.clean_sites(raw, area_ids, materialize=True)
     res.audits["issues"] = check_campgrounds(res, area_ids)
     res.audits["summary"] = campground_summary(raw, res)
     return res
