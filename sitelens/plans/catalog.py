@@ -66,4 +66,4 @@ def _load():
         return
     _loaded = True
     from . import queries_search, queries_quality, queries_text, queries_entities  # noqa: F401
-    from . import queries_profile  # noqa: F401
+    from . import queries_profile, queries_stats  # noqa: F401
