@@ -22,6 +22,7 @@ def test_registry_consistent():
     assert set(sqls) <= set(qs)
     assert len(qs) >= 40
     assert set(qs) - set(sqls) == {"html_to_text"}
+    assert len(sqls) >= 49
 
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver tables not present")
