@@ -32,6 +32,12 @@ def collapse_ws(col) -> Column:
     return F.trim(F.regexp_replace(_c(col), WS_RUN, " "))
 
 
+def is_blank(col) -> Column:
+    """NULL, empty or nothing but whitespace of any kind."""
+    c = _c(col)
+    return c.isNull() | c.rlike(f"^{WS_CLASS}*$")
+
+
 def clean_text(col) -> Column:
     """Trim and collapse whitespace; NULL becomes ''."""
     return collapse_ws(F.coalesce(_c(col), F.lit("")))
@@ -71,29 +77,48 @@ def ascii_fold_key(col) -> Column:
 # --- entity decoding and markup removal (Python only where Java has no equal)
 
 class _TextCollector(HTMLParser):
+    """Text between tags. Adjacent pieces (a stray ``<`` splits them) are one text;
+    a tag or a comment ends it. Text of scripts, styles and templates is left out."""
+
+    HIDDEN = ("script", "style", "template")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self._skip = 0
+        self.texts: list[list[str]] = [[]]
+        self.hidden = 0
+
+    def _cut(self):
+        if self.texts[-1]:
+            self.texts.append([])
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self._skip += 1
+        self._cut()
+        self.hidden += tag in self.HIDDEN
+
+    def handle_startendtag(self, tag, attrs):
+        self._cut()
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style") and self._skip:
-            self._skip -= 1
+        self._cut()
+        if tag in self.HIDDEN and self.hidden:
+            self.hidden -= 1
+
+    def handle_comment(self, data):
+        self._cut()
 
     def handle_data(self, data):
-        if not self._skip:
-            self.parts.append(data)
+        if not self.hidden:
+            self.texts[-1].append(data)
+
+    def joined(self) -> str:
+        return " ".join("".join(t) for t in self.texts)
 
 
 _PY_WS = re.compile(r"\s+")
 
 
 def html_text_value(value):
-    """Decode entities, then drop markup; pieces joined by a space."""
+    """Decode entities, then drop markup; texts between tags are joined by a space."""
     if value is None:
         return None
     decoded = html.unescape(value)
@@ -101,7 +126,7 @@ def html_text_value(value):
         parser = _TextCollector()
         parser.feed(decoded)
         parser.close()
-        decoded = " ".join(parser.parts)
+        decoded = parser.joined()
     return _PY_WS.sub(" ", decoded).strip()
 
 
@@ -171,9 +196,9 @@ def clean_location_label(col, decode_entities: bool = True) -> Column:
 
 
 def has_unusual_whitespace(col) -> Column:
-    """Edge or doubled spaces, format/line/paragraph separators, or a
-    space separator other than the plain space."""
+    """Whitespace of any kind at an edge or twice in a row, format/line/paragraph
+    separators, or a space separator other than the plain space."""
     c = _c(col)
-    return (c.rlike(r"^ | $|  ")
+    return (c.rlike(rf"\A{WS_CLASS}|{WS_CLASS}\z|{WS_CLASS}{{2}}")
             | c.rlike(r"[\p{Cf}\p{Zl}\p{Zp}]")
             | c.rlike(r"[\p{Zs}&&[^ ]]"))
