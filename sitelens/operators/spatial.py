@@ -78,8 +78,10 @@ def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
     if radius_km < 0 or math.isnan(radius_km):
         raise ValueError("radius_km must be a non-negative number")
     width = grid_cell_width(min(radius_km + _ROUNDING_MARGIN_KM, MAX_SPHERE_KM))
-    p = with_neighbour_cells(probe, probe_lat, probe_lon, width)
-    b = with_cell(build, build_lat, build_lon, width)
+    # without coordinates there is no cell; such rows would all meet at one null key
+    located = lambda df, lat, lon: df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    p = with_neighbour_cells(located(probe, probe_lat, probe_lon), probe_lat, probe_lon, width)
+    b = with_cell(located(build, build_lat, build_lon), build_lat, build_lon, width)
     keys = ["_cx", "_cy", "_cz"]
     if salt_key is not None and salt_buckets > 1:
         b = b.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_key)), F.lit(salt_buckets)))
@@ -123,20 +125,18 @@ def nearest_per_key(probe: DataFrame, build: DataFrame, k: int, *, probe_key: st
         raise ValueError("k must be >= 1")
     spark = probe.sparkSession
     ensure_checkpoint_dir(spark)
+    # points without coordinates are near nothing and must not count as reachable
+    probe = probe.where(F.col(probe_lat).isNotNull() & F.col(probe_lon).isNotNull())
+    build = build.where(F.col(build_lat).isNotNull() & F.col(build_lon).isNotNull())
     n_build = build.count()
-    if n_build == 0:
-        empty = radius_join(probe, build, 0.0, probe_lat=probe_lat, probe_lon=probe_lon,
-                            build_lat=build_lat, build_lon=build_lon, distance_col=distance_col)
-        return empty.withColumn(rank_col, F.lit(0)).limit(0)
     target = min(k, n_build)
     radius = start_radius_km if start_radius_km else radius_for_fraction(
-        min(1.0, 4.0 * target / n_build))
+        min(1.0, 4.0 * target / max(1, n_build)))
     radius = max(radius, 1.0)
     w = Window.partitionBy(probe_key).orderBy(F.col(distance_col), F.col(build_key))
-    open_keys = probe
-    finished: list[DataFrame] = []
+    open_keys, out = probe, None
     while True:
-        last_round = radius >= MAX_SPHERE_KM
+        last_round = radius >= MAX_SPHERE_KM or not n_build
         r = min(radius, MAX_SPHERE_KM)
         pairs = radius_join(open_keys, build, r, probe_lat=probe_lat, probe_lon=probe_lon,
                             build_lat=build_lat, build_lon=build_lon,
@@ -145,19 +145,16 @@ def nearest_per_key(probe: DataFrame, build: DataFrame, k: int, *, probe_key: st
                   .where(F.col(rank_col) <= k))
         ranked = (ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(probe_key)))
                   .checkpoint(eager=True))
-        done = ranked.where(F.col("_n") >= target).drop("_n")
-        finished.append(done)
+        # in the last round every key has all there is
+        done = (ranked if last_round else ranked.where(F.col("_n") >= target)).drop("_n")
+        out = done if out is None else out.unionByName(done)
         if last_round:
-            break
+            return out
         open_keys = (open_keys.join(done.select(probe_key).distinct(), probe_key, "left_anti")
                      .checkpoint(eager=True))
         if open_keys.isEmpty():
-            break
+            return out
         radius *= growth
-    out = finished[0]
-    for d in finished[1:]:
-        out = out.unionByName(d)
-    return out
 
 
 def duplicate_pairs(df: DataFrame, *, key: str, name: str, lat: str, lon: str,

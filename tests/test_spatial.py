@@ -98,3 +98,28 @@ def test_duplicate_pairs_hot_name(spark):
     want = {(str(2 * j), str(2 * j + 1)) for j in range(100)}
     want = {tuple(sorted(p)) for p in want}
     assert got == want
+
+
+def test_nearest_with_unplaced_points_and_few_sites(spark):
+    """k above the number of placed sites; points without coordinates on both sides."""
+    probe = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 5.0), (3, 80.0, 170.0)], "pid int, plat double, plon double")
+    build = spark.createDataFrame([(10, 1.0, 1.0), (11, -60.0, -170.0), (12, 0.5, 0.0), (13, None, None), (14, 3.0, None)],
+                                  "bid int, blat double, blon double")
+    got = nearest_per_key(probe, build, 5, probe_key="pid", build_key="bid", probe_lat="plat", probe_lon="plon",
+                          build_lat="blat", build_lon="blon").collect()
+    assert {(r.pid, r.distance_rank): r.bid for r in got} == {
+        (1, 1): 12, (1, 2): 10, (1, 3): 11, (3, 1): 10, (3, 2): 12, (3, 3): 11}
+    none = nearest_per_key(probe, build.where("bid = 13"), 2, probe_key="pid", build_key="bid", probe_lat="plat",
+                           probe_lon="plon", build_lat="blat", build_lon="blon")
+    assert none.collect() == []
+
+
+def test_nearest_among_clustered_sites(spark):
+    """Most sites share one place; the probe far away still gets its nearest ones."""
+    rows = [(i, 45.0 + (i % 7) * 1e-4, 7.0) for i in range(400)] + [(900, -45.0, 7.0), (901, -44.0, 8.0)]
+    build = spark.createDataFrame(rows, "bid int, blat double, blon double")
+    probe = spark.createDataFrame([(1, 45.0, 7.0), (2, -45.0, 7.0)], "pid int, plat double, plon double")
+    got = nearest_per_key(probe, build, 3, probe_key="pid", build_key="bid", probe_lat="plat", probe_lon="plon",
+                          build_lat="blat", build_lon="blon").collect()
+    by = {(r.pid, r.distance_rank): r.bid for r in got}
+    assert [by[1, k] for k in (1, 2, 3)] == [0, 7, 14] and [by[2, k] for k in (1, 2)] == [900, 901]
