@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import profile as PF
 from ..sources import projection as P
-from ..session import table_path
 from .catalog import register
 
+# Every column of the tables, and a text table whose values (written from the key)
+# reach the types that the others do not have.
 PROFILED = (("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
             ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                        "o_orderdate", "o_orderpriority")))
+                        "o_orderdate", "o_orderpriority")),
+            ("typed", ("flag", "nothing", "moment", "day", "padded", "ratio", "word")))
+TYPED_SQL = """typed AS (SELECT
+  CASE s_suppkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'N' ELSE '' END AS flag,
+  CASE s_suppkey % 2 WHEN 0 THEN chr(9) || ' ' ELSE NULL END AS nothing,
+  '2021-03-0' || (1 + s_suppkey % 9) || 'T10:0' || (s_suppkey % 10) || ':00Z' AS moment,
+  'March ' || (1 + s_suppkey % 28) || ', 2020' AS day,
+  '00' || s_suppkey AS padded,
+  (s_suppkey % 7) || '.' || (s_suppkey % 4) || 'e2' AS ratio,
+  'w' || (s_suppkey % 5) AS word FROM supplier)"""
+
+
+def _typed(spark, sf_dir):
+    k = F.col("s_suppkey")
+    part = lambda n, plus=0: (k % n + plus).cast("string")
+    return P.read_table(spark, sf_dir, "supplier").select(
+        F.when(k % 3 == 0, "yes").when(k % 3 == 1, "N").otherwise("").alias("flag"),
+        F.when(k % 2 == 0, "\t ").alias("nothing"),
+        F.concat(F.lit("2021-03-0"), part(9, 1), F.lit("T10:0"), part(10), F.lit(":00Z")).alias("moment"),
+        F.concat(F.lit("March "), part(28, 1), F.lit(", 2020")).alias("day"),
+        F.concat(F.lit("00"), k.cast("string")).alias("padded"),
+        F.concat(part(7), F.lit("."), part(4), F.lit("e2")).alias("ratio"),
+        F.concat(F.lit("w"), part(5)).alias("word"))
 
 
 def _t(spark, sf_dir, name):
@@ -27,7 +52,7 @@ def _profile_sql(table, cols):
     ident = [c for c in cols if PF.is_identifier_name(c)]
     ident_sql = ("column_name IN (" + ", ".join(f"'{c}'" for c in ident) + ")") if ident else "FALSE"
     bools = ", ".join(f"'{b}'" for b in PF.BOOLEAN_WORDS)
-    pres = "(value IS NOT NULL AND trim(value) <> '')"
+    pres = "(value IS NOT NULL AND NOT regexp_full_match(value, '\\s*'))"
     return f"""
 numbered_{table} AS (SELECT *, ROW_NUMBER() OVER () - 1 AS rn FROM {table}),
 counts_{table} AS (
@@ -68,18 +93,19 @@ profile_{table} AS (
     ON p.column_position = s.column_position AND p.column_name = s.column_name)"""
 
 
-@register("column_profile", "WITH " + ",".join(_profile_sql(t, c) for t, c in PROFILED)
+@register("column_profile", f"WITH {TYPED_SQL}, " + ",".join(_profile_sql(t, c) for t, c in PROFILED)
           + "\n" + "\nUNION ALL\n".join(f"SELECT * FROM profile_{t}" for t, _ in PROFILED))
 def q_column_profile(spark, sf_dir):
     out = None
     for table, cols in PROFILED:
-        p = PF.column_profile(_t(spark, sf_dir, table).select(*cols), table)
+        rows = _typed(spark, sf_dir) if table == "typed" else _t(spark, sf_dir, table).select(*cols)
+        p = PF.column_profile(rows, table)
         out = p if out is None else out.unionByName(p)
     return out
 
 
-_LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-            "l_returnflag", "l_linestatus")
+_LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def _key_single_sql(col):
@@ -141,16 +167,82 @@ def q_fd_violations(spark, sf_dir):
     return PF.fd_violations(_t(spark, sf_dir, "part"), "p_name", "p_partkey")
 
 
-@register("name_flags", """
-SELECT CAST(COUNT(*) FILTER (WHERE regexp_matches(t, '\\*')) AS BIGINT) AS star_count,
-  CAST(COUNT(*) FILTER (WHERE regexp_matches(t, '\\[\\s*\\d+')) AS BIGINT) AS citation_count,
-  CAST(COUNT(*) FILTER (WHERE ws) AS BIGINT) AS unusual_whitespace_count,
-  CAST(COUNT(*) FILTER (WHERE regexp_matches(t, '\\*') OR regexp_matches(t, '\\[\\s*\\d+') OR ws)
-       AS BIGINT) AS flagged_count
-FROM (SELECT COALESCE(text, '') AS t,
-        (regexp_matches(COALESCE(text, ''), '^ | $|  ')
-         OR regexp_matches(COALESCE(text, ''), '[\\p{Cf}\\p{Zl}\\p{Zp}]')
-         OR regexp_matches(replace(COALESCE(text, ''), ' ', ''), '\\p{Zs}')) AS ws
-      FROM documents) d""")
+# Names as a source might write them, made from the key; the oracle says from the key
+# which marks each one must get.
+_NAMES_SQL = """(SELECT p_partkey AS k, CASE p_partkey % 9
+  WHEN 0 THEN p_name WHEN 1 THEN p_name || ' *' WHEN 2 THEN p_name || '[a]' WHEN 3 THEN p_name || '[]'
+  WHEN 4 THEN p_name || '[note 4][5]' WHEN 5 THEN p_name || chr(9) WHEN 6 THEN p_name || chr(10) || chr(10) || 'x'
+  WHEN 7 THEN chr(160) || p_name ELSE '*[' || p_name || ']  *' END AS name FROM part)"""
+_STAR, _CITED, _SPACED = "k % 9 IN (1, 8)", "k % 9 IN (2, 4, 8)", "k % 9 IN (5, 6, 7, 8)"
+
+
+def _names(spark, sf_dir):
+    k, n = F.col("p_partkey") % 9, F.col("p_name")
+    name = (F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(" *"))).when(k == 2, F.concat(n, F.lit("[a]")))
+            .when(k == 3, F.concat(n, F.lit("[]"))).when(k == 4, F.concat(n, F.lit("[note 4][5]")))
+            .when(k == 5, F.concat(n, F.lit("\t"))).when(k == 6, F.concat(n, F.lit("\n\nx")))
+            .when(k == 7, F.concat(F.lit("\u00a0"), n)).otherwise(F.concat(F.lit("*["), n, F.lit("]  *"))))
+    return _t(spark, sf_dir, "part").select(name.alias("name"))
+
+
+@register("name_flags", f"""
+SELECT CAST(COUNT(*) FILTER (WHERE {_STAR}) AS BIGINT) AS star_count,
+  CAST(COUNT(*) FILTER (WHERE {_CITED}) AS BIGINT) AS citation_count,
+  CAST(COUNT(*) FILTER (WHERE {_SPACED}) AS BIGINT) AS unusual_whitespace_count,
+  CAST(COUNT(DISTINCT CASE WHEN k % 9 NOT IN (0, 3) THEN name END) AS BIGINT) AS flagged_count
+FROM {_NAMES_SQL} n""")
 def q_name_flags(spark, sf_dir):
-    return PF.name_flags(_t(spark, sf_dir, "documents"), "text")
+    return PF.name_flags(_names(spark, sf_dir), "name")
+
+
+@register("flagged_names", f"""
+SELECT DISTINCT name, {_STAR} AS has_star, {_CITED} AS has_citation, {_SPACED} AS has_unusual_whitespace
+FROM {_NAMES_SQL} n WHERE k % 9 NOT IN (0, 3)""")
+def q_flagged_names(spark, sf_dir):
+    return PF.flagged_names(_names(spark, sf_dir), "name")
+
+
+@register("attribute_conflicts", """
+WITH cells AS (SELECT source AS key, 'lang' AS attribute, coalesce(lang, '') AS value FROM documents
+  UNION SELECT source, 'n_chars', coalesce(CAST(n_chars AS VARCHAR), '') FROM documents),
+pairs AS (SELECT DISTINCT * FROM cells WHERE key IS NOT NULL AND trim(key) <> ''),
+many AS (SELECT attribute, key, COUNT(*) AS n_values FROM pairs GROUP BY attribute, key HAVING COUNT(*) > 1),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY key) AS key_rank,
+  COUNT(*) OVER (PARTITION BY attribute) AS conflicting_keys FROM many),
+shown AS (SELECT p.attribute, p.key, p.value,
+  ROW_NUMBER() OVER (PARTITION BY p.attribute, p.key ORDER BY p.value) AS r FROM pairs p)
+SELECT k.attribute, CAST(k.conflicting_keys AS BIGINT) AS conflicting_keys, CAST(k.key_rank AS BIGINT) AS key_rank,
+  k.key, CAST(k.n_values AS BIGINT) AS n_values, string_agg(s.value, '|' ORDER BY s.value) AS first_values
+FROM ranked k JOIN shown s ON s.attribute = k.attribute AND s.key = k.key
+WHERE k.key_rank <= 10 AND s.r <= 5 GROUP BY ALL""")
+def q_attribute_conflicts(spark, sf_dir):
+    return PF.attribute_conflicts(_t(spark, sf_dir, "documents"), "source", ["lang", "n_chars"])
+
+
+@register("duplicated_ids", """
+WITH ids AS (SELECT CAST(l_partkey AS VARCHAR) AS id, l_orderkey, l_linenumber FROM lineitem),
+top AS (SELECT id, COUNT(*) AS n_rows FROM ids GROUP BY id HAVING COUNT(*) > 1 ORDER BY n_rows DESC, id LIMIT 10),
+r AS (SELECT i.*, t.n_rows, ROW_NUMBER() OVER (PARTITION BY i.id ORDER BY l_orderkey, l_linenumber) AS record_rank
+  FROM ids i JOIN top t ON t.id = i.id)
+SELECT id, CAST(n_rows AS BIGINT) AS n_rows, CAST(record_rank AS BIGINT) AS record_rank, l_orderkey, l_linenumber
+FROM r WHERE record_rank <= 3""")
+def q_duplicated_ids(spark, sf_dir):
+    return PF.duplicated_ids(_t(spark, sf_dir, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"])
+
+
+@register("subset_counts", """
+WITH r AS (SELECT CASE WHEN event_id % 11 = 0 THEN ' ' ELSE CAST(user_id AS VARCHAR) END AS a,
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS b FROM events),
+m AS (SELECT *, (a = ' ' OR b IS NULL) AS bad FROM r)
+SELECT CAST(COUNT(*) AS BIGINT) AS row_count, CAST(COUNT(*) FILTER (WHERE bad) AS BIGINT) AS missing_either_rows,
+  CAST(COUNT(DISTINCT nullif(a, ' ')) AS BIGINT) AS first_ids, CAST(COUNT(DISTINCT b) AS BIGINT) AS second_ids,
+  (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT DISTINCT a, b FROM m WHERE NOT bad) d) AS distinct_pairs,
+  CAST(COUNT(*) FILTER (WHERE NOT bad)
+    - (SELECT COUNT(*) FROM (SELECT DISTINCT a, b FROM m WHERE NOT bad) d) AS BIGINT) AS repeated_pair_rows
+FROM m""")
+def q_subset_counts(spark, sf_dir):
+    e = F.col("event_id")
+    rows = _t(spark, sf_dir, "events").select(
+        F.when(e % 11 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("a"),
+        F.when(e % 13 != 0, F.col("event_type")).alias("b"))
+    return PF.subset_counts(rows, "a", "b")
