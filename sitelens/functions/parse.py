@@ -224,13 +224,13 @@ def with_location(df, src: str, out: str = "_loc", decode_entities: bool = True)
 # --- typed-load converters (text to column type at table load)
 
 def null_if_missing(col) -> Column:
-    """'' and NaN text become NULL; everything else unchanged."""
-    c = _c(col)
-    return F.when((c == "") | (F.lower(c) == "nan"), F.lit(None)).otherwise(c)
+    """'' becomes NULL; all other text, words like "Nan" too, stays."""
+    return F.nullif(_c(col), F.lit(""))
 
 
 def as_real(col) -> Column:
-    return null_if_missing(col).try_cast("double")
+    """Finite decimal number, else NULL (see ``conversion_failures``)."""
+    return parse_number(col)
 
 
 def as_integer(col) -> Column:

@@ -96,9 +96,12 @@ def conform_sites(kept: DataFrame, area_ids: DataFrame) -> DataFrame:
         url.alias("_url"), recid.alias("_recid"),
         TX.phrase_text(_s("water_availability")).alias("_wt"),
         TX.phrase_text(_s("restroom_availability")).alias("_rt"))
-    ids = area_ids.select(F.col("recarea_id").cast("string").alias("_recid"),
+    ids = area_ids.select(F.col("recarea_id").cast("string").alias("_area"),
                           F.lit(True).alias("_known")).distinct()
-    j = base.join(ids, "_recid", "left")
+    # blank ids link with nothing: they are spread instead of meeting at one key
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(SELECTED_IDENTIFIER_COLUMN), F.lit(1009)))
+    base = base.withColumn("_link", F.when(F.col("_recid") == "", spread).otherwise(F.col("_recid")))
+    j = base.join(ids, F.col("_link") == F.col("_area"), "left")
     ident = TX.preserve_identifier(_s(SELECTED_IDENTIFIER_COLUMN))
     linked = (F.col("_recid") != "") & F.coalesce(F.col("_known"), F.lit(False))
     return j.select(
@@ -146,8 +149,8 @@ def unmatched_sites(campgrounds: DataFrame) -> DataFrame:
 
 def site_duplicates(campgrounds: DataFrame) -> DataFrame:
     c = campgrounds.select("campground_id", "name",
-                           F.col("latitude").try_cast("double").alias("_lat"),
-                           F.col("longitude").try_cast("double").alias("_lon"))
+                           PR.parse_number("latitude").alias("_lat"),
+                           PR.parse_number("longitude").alias("_lon"))
     return duplicate_pairs(c, key="campground_id", name="name", lat="_lat", lon="_lon",
                            threshold_km=DUPLICATE_THRESHOLD_KM)
 
@@ -176,6 +179,14 @@ def clean_sites(raw: DataFrame, area_ids: DataFrame, materialize: bool = False)
                 "duplicates": site_duplicates(camps)})
 
 
+def row_accounting(source: DataFrame, kept: DataFrame, dropped: DataFrame) -> DataFrame:
+    """One row: rows of the source, kept, dropped, and neither (or twice)."""
+    from .quality import combine_one_row
+    n = lambda df, name: df.agg(F.count(F.lit(1)).cast("bigint").alias(name))
+    return combine_one_row(n(source, "source_rows"), n(kept, "kept_rows"), n(dropped, "dropped_rows")).withColumn(
+        "unaccounted_rows", F.col("source_rows") - F.col("kept_rows") - F.col("dropped_rows"))
+
+
 # ------------------------------------------------------------- missing keys
 
 def relationship_routing(df: DataFrame, left_key: str, right_key: str,

@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parse as PR
 from ..functions import text as TX
 from ..operators import entities as EN
 from ..operators import profile as PF
 from ..operators import quality as Q
 from ..operators import routing as R
 from ..operators.spatial import radius_join
+from ..session import ensure_checkpoint_dir
 from ..sources import csv as CSV
-from ..sources.tables import StagedPublish
+from ..sources.tables import StagedPublish, write_sorted_csv
 
 # Fixed values that must equal the reference: the activity source contract
 # and its entity column groups.
@@ -59,10 +61,21 @@ def _clean_activity_value(column: str):
     return TX.collapse_ws(TX.unescape_html(F.coalesce(c, F.lit(""))))
 
 
-def clean_activities(raw: DataFrame) -> R.CleanResult:
-    """Areas, activities and their bridge from one row per (area, activity)."""
+def _raw(column: str) -> str:
+    """Name under which a source value is carried next to the cleaned one."""
+    return f"raw_{column}"
+
+
+def clean_activities(raw: DataFrame, materialize: bool = False) -> R.CleanResult:
+    """Areas, activities and their bridge from one row per (area, activity).
+    The audit of dropped rows holds their values as they stand in the source."""
     cleaned = raw.select("source_row_number",
-                         *[_clean_activity_value(c).alias(c) for c in ACTIVITY_SOURCE_COLUMNS])
+                         *[_clean_activity_value(c).alias(c) for c in ACTIVITY_SOURCE_COLUMNS],
+                         *[F.coalesce(F.col(c), F.lit("")).alias(_raw(c)) for c in ACTIVITY_SOURCE_COLUMNS])
+    if materialize:
+        # cleaned once; the tables and audits below all read this
+        ensure_checkpoint_dir(cleaned.sparkSession)
+        cleaned = cleaned.checkpoint()
     areas = EN.canonical_entities(cleaned, "RECAREAID", AREA_COLUMNS[1:])
     acts = EN.canonical_entities(cleaned, "ACTIVITYID", ACTIVITY_COLUMNS[1:])
     pairs = EN.bridge_pairs(cleaned, "RECAREAID", "ACTIVITYID")
@@ -76,7 +89,8 @@ def clean_activities(raw: DataFrame) -> R.CleanResult:
     routed = R.relationship_routing(cleaned, "RECAREAID", "ACTIVITYID", "RECAREAID",
                                     "ACTIVITYID")
     dropped = routed.where(F.col("drop_reason").isNotNull()).select(
-        "source_row_number", "drop_reason", *ACTIVITY_SOURCE_COLUMNS)
+        "source_row_number", "drop_reason",
+        *[F.col(_raw(c)).alias(c) for c in ACTIVITY_SOURCE_COLUMNS])
     bridge = pairs.select("RECAREAID", "ACTIVITYID")
     issues = Q.union_issues([
         Q.orphan_issues(bridge, "RECAREAID", areas, "RECAREAID", "missing_recreation_area"),
@@ -91,7 +105,7 @@ def clean_activities(raw: DataFrame) -> R.CleanResult:
 
 def run_activities(spark: SparkSession, source: str) -> R.CleanResult:
     raw = CSV.read_contract_csv(spark, source, exact=ACTIVITY_SOURCE_COLUMNS)
-    return clean_activities(raw)
+    return clean_activities(raw, materialize=True)
 
 
 # ------------------------------------------------------------- campgrounds
@@ -168,17 +182,67 @@ def run_parks(spark: SparkSession, source: str, id_prefix: str | None = None) ->
 
 # ------------------------------------------------------------- distances
 
+def _coordinate(df: DataFrame, column: str):
+    """A coordinate as the cleaning step read it; text goes through the same parser."""
+    if dict(df.dtypes)[column] == "string":
+        return PR.parse_number(F.col(column))
+    return F.col(column).cast("double")
+
+
+def check_distances(parks: DataFrame, campgrounds: DataFrame, table: DataFrame,
+                    radius_km: float) -> DataFrame:
+    """Issues of a distance table: ids that are blank or repeated in its sources,
+    repeated pairs, distances that are not finite, negative or beyond the radius."""
+    d = F.col("distance_km")
+    return Q.union_issues([
+        Q.row_rule_issues(parks, Q.record_key("park_id"),
+                          [("blank_park_id", F.coalesce(F.col("park_id"), F.lit("")) == "")]),
+        Q.row_rule_issues(campgrounds, Q.record_key("campground_id"),
+                          [("blank_campground_id", F.coalesce(F.col("campground_id"), F.lit("")) == "")]),
+        Q.duplicate_issues(parks, ["park_id"], "duplicate_park_id"),
+        Q.duplicate_issues(campgrounds, ["campground_id"], "duplicate_campground_id"),
+        Q.duplicate_issues(table, ["park_id", "campground_id"], "duplicate_distance"),
+        Q.row_rule_issues(table, Q.record_key("park_id", "campground_id"), [
+            ("distance_not_finite", d.isNull() | F.isnan(d) | (F.abs(d) == float("inf"))),
+            ("negative_distance", d < 0.0), ("distance_beyond_radius", d > radius_km)])])
+
+
+def distance_summary(parks: DataFrame, campgrounds: DataFrame, table: DataFrame) -> DataFrame:
+    """One row: rows of the sources, rows without coordinates, pairs, extremes."""
+    def side(df, name):
+        missing = _coordinate(df, "latitude").isNull() | _coordinate(df, "longitude").isNull()
+        return df.agg(F.count(F.lit(1)).alias(f"{name}_rows"),
+                      F.count_if(missing).alias(f"{name}_rows_without_coordinates"))
+    pairs = table.agg(F.count(F.lit(1)).alias("distance_rows"),
+                      F.min("distance_km").alias("minimum_distance_km"),
+                      F.max("distance_km").alias("maximum_distance_km"))
+    return Q.combine_one_row(side(parks, "park"), side(campgrounds, "campground"), pairs)
+
+
+def export_distances(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K2: sorted CSV, distances with six decimals."""
+    text = table.select("park_id", "campground_id",
+                        F.format_string("%.6f", F.col("distance_km")).alias("distance_km"))
+    write_sorted_csv(text, path, ("park_id", "campground_id", "distance_km"),
+                     ("park_id", "campground_id"), mode)
+
+
+def run_distances(parks: DataFrame, campgrounds: DataFrame, radius_km: float) -> R.CleanResult:
+    table = distances(parks, campgrounds, radius_km)
+    return R.CleanResult(
+        tables={"distances": table},
+        audits={"issues": check_distances(parks, campgrounds, table, radius_km),
+                "summary": distance_summary(parks, campgrounds, table)})
+
+
 def distances(parks: DataFrame, campgrounds: DataFrame, radius_km: float) -> DataFrame:
     """(park_id, campground_id, distance_km) for every pair within the
     radius: the distance table, built by the grid-blocked join (no cross
     product), rounded to 6 decimals."""
-    p = parks.select("park_id", F.col("latitude").cast("double").alias("_plat"),
-                     F.col("longitude").cast("double").alias("_plon")) \
-        .where(F.col("_plat").isNotNull() & F.col("_plon").isNotNull())
-    c = campgrounds.select("campground_id",
-                           F.col("latitude").try_cast("double").alias("_clat"),
-                           F.col("longitude").try_cast("double").alias("_clon")) \
-        .where(F.col("_clat").isNotNull() & F.col("_clon").isNotNull())
+    p = parks.select("park_id", _coordinate(parks, "latitude").alias("_plat"),
+                     _coordinate(parks, "longitude").alias("_plon"))
+    c = campgrounds.select("campground_id", _coordinate(campgrounds, "latitude").alias("_clat"),
+                           _coordinate(campgrounds, "longitude").alias("_clon"))
     return (radius_join(p, c, radius_km, probe_lat="_plat", probe_lon="_plon",
                         build_lat="_clat", build_lon="_clon")
             .select("park_id", "campground_id", "distance_km"))
@@ -187,12 +251,13 @@ def distances(parks: DataFrame, campgrounds: DataFrame, radius_km: float) -> Dat
 # ------------------------------------------------------------- profile
 
 def profile_source(spark: SparkSession, source: str, dataset: str, extra_keys=()) -> dict:
-    header = CSV.read_header(spark, source)
-    CSV.check_header(header)
-    raw = CSV.read_text_csv(spark, source, header)
-    CSV.require_no_long_rows(raw)
-    data = raw.select(*header)
-    return {"column_profile": PF.column_profile(data, dataset),
+    """Profile tables of a delimited source. Rows must have exactly the header's
+    fields, headers no name twice, and all bytes must be UTF-8."""
+    raw = CSV.read_contract_csv(spark, source, strict=True)
+    order = ("source_file", "source_row_number")
+    data = raw.drop(*order)
+    unnamed = [c for c, h in zip(data.columns, CSV.read_header(spark, source)) if not h.strip()]
+    return {"column_profile": PF.column_profile(raw, dataset, order, unnamed),
             "key_analysis": PF.key_analysis(data, dataset, extra_keys),
             "duplicate_rows": PF.duplicate_rows(data, dataset)}
 
@@ -219,3 +284,42 @@ def publish(spark: SparkSession, result: R.CleanResult, root: str,
     except Exception:
         stage.discard()
         raise
+
+
+# ------------------------------------------------------------- pipeline (E5)
+
+class PhaseError(RuntimeError):
+    """A phase of the pipeline failed; ``phase`` names it and later ones did not run."""
+
+    def __init__(self, phase: str, cause: BaseException):
+        super().__init__(f"phase {phase} failed: {cause}")
+        self.phase = phase
+
+
+def run_phases(phases) -> dict:
+    """Run (name, function of the results so far) in order; stop at the first that
+    fails, with its name."""
+    results: dict = {}
+    for name, phase in phases:
+        try:
+            results[name] = phase(results)
+        except Exception as e:
+            raise PhaseError(name, e) from e
+    return results
+
+
+def run_pipeline(spark: SparkSession, sources: dict, root: str, radius_km: float,
+                 overwrite: bool = False) -> dict:
+    """Parks, activities, campgrounds, distances: each published before the next
+    one reads it. ``sources``: paths of the parks, activities and sites files."""
+    def done(name, result):
+        publish(spark, result, f"{root.rstrip('/')}/{name}", overwrite=overwrite)
+        return {t: spark.read.parquet(f"{root.rstrip('/')}/{name}/{t}") for t in result.tables}
+
+    return run_phases([
+        ("parks", lambda _: done("parks", run_parks(spark, sources["parks"]))),
+        ("activities", lambda _: done("activities", run_activities(spark, sources["activities"]))),
+        ("campgrounds", lambda r: done("campgrounds", run_campgrounds(
+            spark, sources["sites"], r["activities"]["recreation_areas"]))),
+        ("distances", lambda r: done("distances", run_distances(
+            r["parks"]["parks"], r["campgrounds"]["campgrounds"], radius_km)))])
