@@ -197,29 +197,41 @@ def location_issues(parks: DataFrame, campgrounds: DataFrame, areas: DataFrame,
         parts.append(row_rule_issues(areas, record_key("recarea_id"),
                                      [("invalid_recreation_area_coordinate", coord)]))
     if distances is not None:
-        parts.append(negative_issues(distances, ["park_id", "campground_id"], "distance_km",
-                                     "negative_distance"))
-        parts.append(duplicate_issues(distances, ["park_id", "campground_id"],
-                                      "duplicate_park_campground_distance"))
+        parts.append(distance_issues(distances))
         if full_matrix:
             parts.append(cardinality_issue(distances, parks, campgrounds))
     return union_issues(parts)
 
 
+def distance_issues(distances: DataFrame) -> DataFrame:
+    """Negative distances (one issue per row) and repeated pairs (one per pair), from
+    one grouped pass over the distance table."""
+    pair = ["park_id", "campground_id"]
+    groups = distances.groupBy(*pair).agg(
+        F.count(F.lit(1)).cast("int").alias("_n"), F.count_if(F.col("distance_km") < 0.0).cast("int").alias("_below"))
+    negative = F.array_repeat(F.lit("negative_distance"), F.col("_below"))
+    twice = F.when(F.col("_n") > 1, F.array(F.lit("duplicate_park_campground_distance"))).otherwise(
+        F.array().cast("array<string>"))
+    return (groups.where((F.col("_n") > 1) | (F.col("_below") > 0))
+            .select(F.explode(F.concat(negative, twice)).alias("issue"), record_key(*pair).alias("record_key")))
+
+
 def key_report(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     """Primary-key health of one table: rows, rows with a NULL key part,
     and key groups that occur more than once (one row)."""
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    totals = df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"),
-                    F.count_if(any_null).cast("bigint").alias("null_key_rows"))
-    dups = duplicate_groups(df.where(~any_null), keys).agg(
-        F.count(F.lit(1)).cast("bigint").alias("duplicate_key_groups"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("excess_rows"))
-    return (combine_one_row(totals, dups)
-            .select(F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-                    "row_count", "null_key_rows", "duplicate_key_groups", "excess_rows"))
+    # one scan and one shuffle: key groups with their sizes carry all four figures
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = ~any_null & (F.col("_n") > 1)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return groups.agg(
+        total(F.col("_n")).alias("row_count"), total(F.when(any_null, F.col("_n"))).alias("null_key_rows"),
+        F.count_if(repeated).cast("bigint").alias("duplicate_key_groups"),
+        total(F.when(repeated, F.col("_n") - 1)).alias("excess_rows")).select(
+            F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
+            "row_count", "null_key_rows", "duplicate_key_groups", "excess_rows")
 
 
 def issue_summary(issues: DataFrame, shown: int = 10):
@@ -238,3 +250,17 @@ def verify_all_activities(results: DataFrame, bridge: DataFrame,
             .agg(F.countDistinct("activity_id").alias("_n")).where(F.col("_n") == len(ids))
             .select("recarea_id"))
     return results.join(full, "recarea_id", "left_anti")
+
+
+def activity_check_counts(results: DataFrame, bridge: DataFrame, activity_ids: Sequence) -> DataFrame:
+    """One row: result rows, different result rows, and how many pairs of a result's
+    area and a selected activity the bridge has. The last is the number of rows times
+    the number of activities exactly if every row meets them all."""
+    ids = list(dict.fromkeys(activity_ids))
+    found = (bridge.where(F.col("activity_id").isin(ids)).select("recarea_id", "activity_id").distinct()
+             .groupBy("recarea_id").agg(F.count(F.lit(1)).alias("_n")))
+    return results.join(found, "recarea_id", "left").agg(
+        F.count(F.lit(1)).cast("bigint").alias("result_rows"),
+        F.countDistinct("campground_id").cast("bigint").alias("result_campgrounds"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("matched_pairs"),
+        F.count_if(F.coalesce(F.col("_n"), F.lit(0)) < len(ids)).cast("bigint").alias("failing_rows"))

@@ -40,6 +40,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+def oracle_of(name: str) -> str:
+    """The statement of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def with_domain(select_sql: str) -> str:
     """Oracle text: the domain projection as CTEs, then the query."""
     return f"WITH {P.ORACLE_CTES.strip()}\n{select_sql}"
@@ -66,4 +71,4 @@ def _load():
         return
     _loaded = True
     from . import queries_search, queries_quality, queries_text, queries_entities  # noqa: F401
-    from . import queries_profile, queries_stats  # noqa: F401
+    from . import queries_profile, queries_sources, queries_stats  # noqa: F401

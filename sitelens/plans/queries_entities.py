@@ -72,9 +72,9 @@ def q_lang_value_counts(spark, sf_dir):
 @register("bridge_pairs", """
 SELECT CAST(user_id AS VARCHAR) AS recarea_id, event_type AS activity_id,
        CAST(COUNT(*) AS BIGINT) AS source_rows
-FROM events WHERE value >= 100 GROUP BY user_id, event_type""")
+FROM events GROUP BY user_id, event_type""")
 def q_bridge_pairs(spark, sf_dir):
-    e = _events(spark, sf_dir).where(F.col("value") >= P.BRIDGE_MIN_VALUE)
+    e = _events(spark, sf_dir)
     return EN.bridge_pairs(e.withColumnRenamed("user_id", "recarea_id")
                            .withColumnRenamed("event_type", "activity_id"),
                            "recarea_id", "activity_id")
@@ -84,7 +84,7 @@ def q_bridge_pairs(spark, sf_dir):
 SELECT CAST(COUNT(*) AS BIGINT) AS relationship_count,
        CAST(SUM(n) AS BIGINT) AS source_relationship_rows,
        CAST(SUM(n - 1) AS BIGINT) AS duplicate_relationships_removed
-FROM (SELECT COUNT(*) AS n FROM events WHERE value >= 100 GROUP BY user_id, event_type) g""")
+FROM (SELECT COUNT(*) AS n FROM events GROUP BY user_id, event_type) g""")
 def q_bridge_summary(spark, sf_dir):
     return EN.bridge_summary(q_bridge_pairs(spark, sf_dir))
 

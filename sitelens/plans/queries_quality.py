@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..sources import projection as P
-from ..session import table_path
-from .catalog import dist_sql, register, with_domain
+from .catalog import dist_sql, oracle_of, register, with_domain
 from .queries_search import (ALL_ACTIVITIES, MATRIX_RADIUS_KM, q_distance_matrix,
                              q_search_all)
 
@@ -146,10 +145,15 @@ def q_key_checks(spark, sf_dir):
     return Q.union_issues([Q.key_report(d[t], t, list(k)) for t, k in _KEY_TABLES])
 
 
-@register("all_activity_check", "SELECT CAST(NULL AS BIGINT) AS campground_id, "
-          "CAST(NULL AS BIGINT) AS recarea_id WHERE 1 = 0")
+_N_SELECTED = len(dict.fromkeys(ALL_ACTIVITIES))
+
+
+@register("all_activity_check", f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS result_rows,
+  CAST(COUNT(DISTINCT campground_id) AS BIGINT) AS result_campgrounds,
+  CAST(COUNT(*) * {_N_SELECTED} AS BIGINT) AS matched_pairs,
+  CAST(0 AS BIGINT) AS failing_rows
+FROM ({oracle_of("search_all_activities")}) r""")
 def q_all_activity_check(spark, sf_dir):
     d = P.domain(spark, sf_dir)
-    res = q_search_all(spark, sf_dir)
-    return (Q.verify_all_activities(res, d["bridge"], ALL_ACTIVITIES)
-            .select("campground_id", "recarea_id"))
+    return Q.activity_check_counts(q_search_all(spark, sf_dir), d["bridge"], ALL_ACTIVITIES)
