@@ -184,8 +184,9 @@ def neighbour_fingerprints(documents: DataFrame, buckets: int = 0) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = [k / buckets for k in range(1, buckets)]
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile(
-        "d", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
+        "d", places, 0.25 / buckets) if places else []
     bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
     # number of cuts up to the id; a null id is before all
     placed = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(
