@@ -205,22 +205,30 @@ class PrefixCounter:
     def longest_within(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with at most ``budget`` tokens, from stored counts.
 
-        Counts can fall inside a pre-token or a run of white space, but not
-        below the count at the end of an earlier pre-token; the search ends there.
+        Counts can fall inside a pre-token or a run of white space, but not below the
+        count at the end of an earlier pre-token that is not white space. So only the
+        prefixes between two such ends are looked at: the last one within the
+        budget and the first one beyond it.
         """
         total = pos = 0
+        start = base = 0          # the last end within the budget, and its count
+        back = back_base = 0      # the end before it
         for part, is_special in self._pieces(text):
-            if total > budget:
-                break
-            if is_special:
-                total, pos = total + 1, pos + len(part)
-                continue
-            for word in self.words(part):
-                total, pos = total + self.totals[word], pos + len(word)
-                if total > budget and word[-1] not in WHITE:
-                    break
-        ok = np.flatnonzero(self.prefix_counts(text[:pos]) <= budget)
-        return int(ok[-1]) if len(ok) else 0
+            for word in (part,) if is_special else self.words(part):
+                total += 1 if is_special else self.totals[word]
+                pos += len(word)
+                if is_special or word[-1] not in WHITE:
+                    if total > budget:
+                        if is_special:  # cut short, it is ordinary text and joins the word before it
+                            start, base = back, back_base
+                        return self._last_within(text, start, pos, base, budget)
+                    back, back_base = start, base
+                    start, base = pos, total
+        return self._last_within(text, start, pos, base, budget)
+
+    def _last_within(self, text: str, start: int, end: int, base: int, budget: int) -> int:
+        ok = np.flatnonzero(self.prefix_counts(text[start:end]) + base <= budget)
+        return start + int(ok[-1]) if len(ok) else 0
 
 
 _counters: dict[str, PrefixCounter] = {}
