@@ -139,7 +139,7 @@ def _common_filter(a: list, b: list) -> int:
 
 
 def _verified(element: str):
-    """Arrow function: per tile, the weight of each row's links, and a forest of the links.
+    """Arrow function: per tile, the weight of each row's links, and a row of the set that links join it to.
 
     A pair that shares several filters counts only at the smallest one.
     """
@@ -155,7 +155,6 @@ def _verified(element: str):
                                  [True] * len(ids), kind)
             left, right = tile_sides(t)
             degree, forest = np.zeros(len(ids), dtype=np.int64), Forest(len(ids))
-            others: list[list[int]] = [[] for _ in ids]
             lists = None
             if len({len(v) for v in unit}) > 1:  # the bucket's hash joined two groups: compare each apart
                 groups = [np.array([i for i, v in enumerate(unit) if len(v) == d]) for d in {len(v) for v in unit}]
@@ -181,13 +180,12 @@ def _verified(element: str):
                         if _common_filter(lists[i], lists[j]) == filt[i]:
                             degree[i] += weight[j]
                             degree[j] += weight[i]
-                            if forest.join(i, j):
-                                others[i].append(int(ids[j]))
+                            forest.join(i, j)
             hit = np.flatnonzero(degree)
             if len(hit):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[hit]), pa.array(degree[hit]), pa.array([others[i] for i in hit], pa.list_(pa.int64()))],
-                    names=["row_id", "n", "others"])
+                    [pa.array(ids[hit]), pa.array(degree[hit]), pa.array(ids[[forest.root(i) for i in hit]])],
+                    names=["row_id", "n", "centre"])
     return run
 
 
@@ -206,7 +204,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Rows with the same label and the same components are one class, compared
     once with the size of the class as its weight. A filter's group of any size is
-    dealt to tiles of pairs of blocks. Tiles return counts and forests, not pairs.
+    dealt to tiles of pairs of blocks. Tiles return counts and stars, not pairs.
     """
     element = vectors.schema[vector_col].dataType.elementType.simpleString()
     source = vectors.select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).alias("label"),
@@ -223,8 +221,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     sizes = postings.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     met = postings.join(sizes, "bucket").join(reps.select("row_id", "weight", "vec", "filters"), "row_id")
     found = materialized(tiled(met, "bucket", "size", TILE_ROWS, "row_id").mapInArrow(
-        _verified(element), "row_id long, n long, others array<bigint>"), "cap-links")
-    component = connected_components(found.select(F.col("row_id").alias("a"), F.explode("others").alias("b")))
+        _verified(element), "row_id long, n long, centre long"), "cap-links")
+    component = connected_components(found.select(F.col("row_id").alias("a"), F.col("centre").alias("b")))
     total = found.groupBy("row_id").agg(F.sum("n").alias("n"))
     by_class = (reps.select("cls", "weight", "row_id").join(total, "row_id", "left")
                 .join(component.withColumnRenamed("id", "row_id"), "row_id", "left")

@@ -87,6 +87,13 @@ class Forest:
         return True
 
 
+    def stars(self) -> tuple[list[int], list[int]]:
+        """Pairs (smallest member, other member) of every set of two or more."""
+        roots = [self.root(x) for x in range(len(self.up))]
+        pairs = [(r, x) for x, r in enumerate(roots) if r != x]
+        return [r for r, _ in pairs], [x for _, x in pairs]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers (finalizer with public constants)."""
     x = x.astype(np.uint64, copy=True)

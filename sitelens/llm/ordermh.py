@@ -164,7 +164,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             names=["doc_id", "cls", "n", "sig", "keys"])
 
 
-def _edges(a: list, b: list) -> pa.RecordBatch:
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -180,25 +180,24 @@ def _maybe_pairs(sig, n, left, right) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def _candidate_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each tile of a sketch's group, a forest of the pairs that may be similar."""
+    """Of each tile of a sketch's group, stars that join what pairs that may be similar join."""
     for t in sorted_groups(batches, ["key", "tile"]):
         if t.num_rows < 2:
             continue
         ids = t.column("doc_id").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
         n = t.column("n").to_numpy()
-        forest, a, b = Forest(len(ids)), [], []
+        forest = Forest(len(ids))
         for xs, ys, _ in _maybe_pairs(sig, n, *tile_sides(t)):
             for x, y in zip(xs.tolist(), ys.tolist()):
-                if forest.join(x, y):
-                    a.append(ids[x])
-                    b.append(ids[y])
+                forest.join(x, y)
+        a, b = forest.stars()
         if a:
-            yield _edges(a, b)
+            yield _edges(ids[a], ids[b])
 
 
 def _verified_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each tile of a candidate component, a forest of the pairs whose alignment reaches SIMILARITY."""
+    """Of each tile of a candidate component, stars that join what pairs of SIMILARITY or more join."""
     for t in sorted_groups(batches, ["component", "tile"]):
         if t.num_rows < 2:
             continue
@@ -207,7 +206,7 @@ def _verified_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         grams = [kmers(texts[i].as_py() or "") for i in range(len(ids))]
         sig = np.stack([signature(g) for g in grams])
         n = np.array([len(g) for g in grams])
-        forest, a, b = Forest(len(ids)), [], []
+        forest = Forest(len(ids))
         parts = list(_maybe_pairs(sig, n, *tile_sides(t)))
         if not parts:
             continue
@@ -216,10 +215,9 @@ def _verified_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for x, y in zip(xs[order].tolist(), ys[order].tolist()):
             if forest.root(x) != forest.root(y) and aligned_similarity(grams[x], grams[y]) >= SIMILARITY:
                 forest.join(x, y)
-                a.append(ids[x])
-                b.append(ids[y])
+        a, b = forest.stars()
         if a:
-            yield _edges(a, b)
+            yield _edges(ids[a], ids[b])
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +233,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Only one row per class goes on. A sketch's group of any size is dealt to
     tiles of pairs of blocks, where byte signatures rule out pairs far below
-    the threshold; each tile returns at most a forest, never all pairs.
+    the threshold; each tile returns at most a star per joined set, never all pairs.
     Whole texts are then sent once per tile of the candidate components, and
     alignments that cannot change the components are skipped.
     """
