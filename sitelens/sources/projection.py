@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amenities as A
 from ..functions import text as TX
-from ..session import table_path
+from ..session import ship_package, table_path
 
 # Phrases as a source might word them, each with the category that the rules
 # must give it. The row's key modulo the list length picks the phrase.
@@ -85,6 +85,7 @@ def memoized(fn):
 
 @memoized
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
