@@ -61,3 +61,11 @@ def grid_cell_width(radius_km: float) -> float:
     boundary pair; a zero radius still gets a positive width.
     """
     return chord_for_km(radius_km) * (1.0 + 1e-9) + 1e-12
+
+
+def coordinate_text(col) -> Column:
+    """A coordinate as export text: 15 significant digits, no zeros at the end."""
+    c = F.col(col) if isinstance(col, str) else col
+    text = F.format_string("%.15g", c.cast("double"))
+    text = F.regexp_replace(text, r"(\.\d*?)0+(?=$|e)", "$1")
+    return F.when(c.isNotNull(), F.regexp_replace(text, r"\.(?=$|e)", ""))

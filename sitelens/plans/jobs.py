@@ -17,6 +17,7 @@ from ..operators import entities as EN
 from ..operators import profile as PF
 from ..operators import quality as Q
 from ..operators import routing as R
+from ..operators import search as S
 from ..operators.spatial import radius_join
 from ..session import ensure_checkpoint_dir
 from ..sources import csv as CSV
@@ -286,6 +287,13 @@ def publish(spark: SparkSession, result: R.CleanResult, root: str,
         raise
 
 
+def publish_views(campgrounds: DataFrame, areas: DataFrame, bridge: DataFrame, activities: DataFrame) -> None:
+    """K6: the two derived tables under their names, as views of the session."""
+    S.campground_activity_details(campgrounds, areas, bridge, activities).createOrReplaceTempView(
+        "campground_activity_details")
+    S.completeness_rows(campgrounds).createOrReplaceTempView("campground_data_completeness")
+
+
 # ------------------------------------------------------------- pipeline (E5)
 
 class PhaseError(RuntimeError):

@@ -122,3 +122,8 @@ def test_unusual_whitespace(spark):
 
 def test_blank(spark):
     assert apply(spark, TX.is_blank, [None, "", " \t\n", "\u00a0\u3000", "x ", "\x1f"]) == [True, True, True, True, False, True]
+
+
+def test_coordinate_text(spark):
+    values = [44.35, -68.21, 0.1 + 0.2, 100.0, -0.0, 1e-5, 123.456789012345678, None, 1.0e-4]
+    assert apply(spark, G.coordinate_text, values, "double") == [None if v is None else format(v, ".15g") for v in values]
