@@ -6,15 +6,14 @@ labelled k-mers with the smallest hashes and keeps them in text order, so two
 texts agree on it when they share those k-mers *in the same order*. Texts
 agreeing on any of M sketches are candidates.
 
-The similarity is the length of the longest chain of equal labelled k-mers
-rising in both texts, with diagonals inside the band that the threshold
-allows, over the number of labelled k-mers in either text: Jaccard similarity
-that also asks for order.
+The similarity is the length of the longest chain of equal k-mers rising in
+both texts over the number of k-mers in either text: Jaccard similarity that
+also asks for order. Occurrence numbers play no part in it: inside the band of
+diagonals that the threshold allows, any equal k-mers may match.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ _words = _WordHash()
 
 
 def kmers(text: str) -> np.ndarray:
-    """Hashes of the occurrence-labelled k-mers in text order; fewer than five words are one k-mer."""
+    """Hashes of the k-mers in text order; fewer than five words are one k-mer."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -59,9 +58,15 @@ def kmers(text: str) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     for j in range(min(WORDS, len(h))):
         out = mix64(out + h[j:j + n])
-    # occurrence number: rank among equal hashes, in text order
-    order = np.argsort(out, kind="stable")
-    s = out[order]
+    return out
+
+
+def labelled(grams: np.ndarray) -> np.ndarray:
+    """k-mers with their occurrence number (rank among equal hashes, in text order) hashed in."""
+    n = len(grams)
+    out = grams.copy()
+    order = np.argsort(grams, kind="stable")
+    s = grams[order]
     first = np.ones(n, dtype=bool)
     first[1:] = s[1:] != s[:-1]
     if not first.all():
@@ -122,30 +127,59 @@ def maybe_similar(a, b, na, nb) -> tuple[np.ndarray, np.ndarray]:
     return (est >= SIMILARITY - margin) & (short >= SIMILARITY * long_), est
 
 
+def longest_chain(a: np.ndarray, b: np.ndarray, ahead: int, behind: int) -> int:
+    """Length of the longest chain of equal elements rising in both, by the bit-parallel form of the alignment table.
+
+    Places (i, j) with j - behind <= i <= j + ahead may match; some outside may too, where a
+    window of columns is wider. A bit of the window is 0 where the table grows by one in its column.
+    """
+    same = a[:min(len(a), len(b))] == b[:min(len(a), len(b))]
+    head = len(same) if same.all() else int(np.argmin(same))  # equal ends are in a longest chain
+    a, b = a[head:], b[head:]
+    k = min(len(a), len(b))
+    same = a[::-1][:k] == b[::-1][:k]
+    tail = k if same.all() else int(np.argmin(same))
+    x, y = a[:len(a) - tail].tolist(), b[:len(b) - tail].tolist()
+    step = max(64, ahead + behind)
+    chain, bits, start, end = head + tail, 0, 0, 0
+    for lo in range(0, len(y), step):
+        left, right = min(len(x), max(0, lo - behind)), min(len(x), lo + step + ahead)
+        gone = bits & ((1 << (left - start)) - 1)
+        chain += left - start - gone.bit_count()
+        bits = bits >> (left - start) | ((1 << (right - end)) - 1) << (end - left)
+        start, end = left, right
+        every = (1 << (end - start)) - 1
+        places: dict[int, list[int]] = {}
+        for i in range(start, end):
+            places.setdefault(x[i], []).append(i - start)
+        # masks of frequent elements only are kept, so that they stay small for long texts
+        masks = {v: sum(1 << i for i in at) for v, at in places.items() if len(at) > 64}
+        for v in y[lo:lo + step]:
+            at = places.get(v)
+            if at is None:
+                continue
+            match = masks.get(v)
+            if match is None:
+                match = 1 << at[0]
+                for i in at[1:]:
+                    match |= 1 << i
+            match &= bits
+            bits = (bits + match | bits - match) & every
+    return chain + end - start - bits.bit_count()
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two labelled k-mer sequences by banded alignment (see the module's text)."""
+    """Similarity of two k-mer sequences by banded alignment (see the module's text); exact from SIMILARITY on."""
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
-    # similarity >= s needs a chain of at least s (n + m) / (1 + s), so at most this many others
-    band = int(np.floor((n + m) - 2 * SIMILARITY * (n + m) / (1 + SIMILARITY) + 1e-9))
-    common, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(common) < SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9:
-        return len(common) / (n + m - len(common))  # below the threshold in any order
-    order = np.argsort(ia)
-    ia, ib = ia[order], ib[order]
-    ib = ib[np.abs(ia - ib) <= band]
-    if len(ib) < 2 or (np.diff(ib) > 0).all():
-        chain = len(ib)
-    else:
-        tails: list[int] = []
-        for x in ib.tolist():
-            at = bisect_left(tails, x)
-            if at == len(tails):
-                tails.append(x)
-            else:
-                tails[at] = x
-        chain = len(tails)
+    # similarity >= s needs a chain of at least s (n + m) / (1 + s)
+    need = SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9
+    common, ia, ib = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+    chain = len(common)  # no chain is longer
+    if chain >= need and not (np.diff(ib[np.argsort(ia)]) > 0).all():
+        # that long a chain leaves out at most this many of either side
+        chain = longest_chain(a, b, max(0, int(n - need)), max(0, int(m - need)))
     return chain / (n + m - chain)
 
 
@@ -156,6 +190,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             g = kmers(text or "")
             cls.append(xxhash.xxh3_128_digest(g.tobytes()))
             ns.append(len(g))
+            g = labelled(g)
             sigs.append(signature(g).tobytes())
             keys.append(sketches(g))
         yield pa.RecordBatch.from_arrays(
@@ -204,7 +239,7 @@ def _verified_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         ids = t.column("doc_id").to_numpy()
         texts = t.column("text")
         grams = [kmers(texts[i].as_py() or "") for i in range(len(ids))]
-        sig = np.stack([signature(g) for g in grams])
+        sig = np.stack([signature(labelled(g)) for g in grams])
         n = np.array([len(g) for g in grams])
         forest = Forest(len(ids))
         parts = list(_maybe_pairs(sig, n, *tile_sides(t)))

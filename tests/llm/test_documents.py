@@ -265,6 +265,47 @@ def test_near_dedup_of_one_large_group(shipped, monkeypatch):
     assert got == brute_classes(texts) and got[119] == 0 and got[500] == 500
 
 
+def plain_alignment(a, b):
+    """Longest common subsequence over all k-mers of either text, by the whole table."""
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        last = row
+    return last[-1] / (len(a) + len(b) - last[-1])
+
+
+def test_alignment_of_texts_with_a_repeated_line(shipped):
+    rng = random.Random(6)
+    refrain = [f"r{i}" for i in range(12)]
+    lines = [refrain if k % 2 == 0 else [f"w{rng.randint(0, 5000)}" for _ in range(12)] for k in range(40)]
+    edited = [["new", *refrain[1:]], *lines[1:]]
+    texts = {k: " ".join(w for line in v for w in line) for k, v in enumerate([lines, edited, lines[1:]])}
+    grams = [ordermh.kmers(t) for t in texts.values()]
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        got = ordermh.aligned_similarity(grams[a], grams[b])
+        assert got > 0.9 and got == plain_alignment(grams[a].tolist(), grams[b].tolist())
+    docs = shipped.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.class_id for r in ordermh.near_duplicate_classes(docs).collect()} == {0}
+
+
+def test_alignment_against_the_whole_table():
+    rng = random.Random(7)
+    close = 0
+    for _ in range(300):
+        a = [rng.randint(0, rng.choice([3, 40])) for _ in range(rng.randint(1, 260))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 8 + 1)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randint(0, 2)] = [rng.randint(0, 40)] * rng.randint(0, 2)
+        a, b = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        got, want = ordermh.aligned_similarity(a, b), plain_alignment(a.tolist(), b.tolist()) if len(b) else 0.0
+        assert got == want if want >= 0.8 else got < 0.8
+        close += want >= 0.8
+    assert 100 < close < 300
+
+
 def test_near_dedup_on_odd_rows(odd_documents, no_documents):
     got = collected(ordermh.near_duplicate_classes(odd_documents))
     by_id = {r.doc_id: (r.class_id, r.n_same, r.kept) for r in got}
