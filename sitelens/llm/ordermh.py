@@ -4,7 +4,8 @@ A text is its lower-cased words; its k-mers are runs of five words, each
 labelled with its occurrence number in the text. One sketch takes the L
 labelled k-mers with the smallest hashes and keeps them in text order, so two
 texts agree on it when they share those k-mers *in the same order*. Texts
-agreeing on any of M sketches are candidates.
+agreeing on any of M sketches are candidates. Texts of few k-mers meet on
+single k-mers instead, which misses none of their pairs.
 
 The similarity is the length of the longest chain of equal k-mers rising in
 both texts over the number of k-mers in either text: Jaccard similarity that
@@ -29,6 +30,7 @@ WORDS = 5            # words in a k-mer
 SIMILARITY = 0.8
 SKETCHES = 16        # M: a pair at the threshold shares no sketch with chance about (1 - 0.8**4)**16 = 0.0002
 PICKED = 4           # L: k-mers in a sketch
+SHORT = 20           # pairs whose shorter text has at most so many k-mers meet on single k-mers
 BINS = 128           # bytes of the one-permutation signature that estimates similarity
 TILE_ROWS = 512      # rows of one block of a large group
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -100,6 +102,25 @@ def sketches(grams: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def single_keys(grams: np.ndarray) -> np.ndarray:
+    """So many k-mers with the smallest hashes that texts of SIMILARITY or more must share one of them.
+
+    Such a pair has at least SIMILARITY n common k-mers of either side's n. The smallest common one
+    has at most n - SIMILARITY n smaller ones in each text, all others being common too.
+    """
+    most = int(len(grams) * (1 - SIMILARITY) + 1e-9) + 1
+    return np.sort(mix64(grams ^ np.uint64(0xA0761D6478BD642F)))[:most].view(np.int64)
+
+
+def candidate_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys on which a text meets others: single k-mers for pairs with a short text, sketches for the others."""
+    n = len(grams)
+    keys = [single_keys(grams)] if 0 < n <= SHORT / SIMILARITY + 1e-9 else []
+    if n > SHORT or not n:
+        keys.append(sketches(grams))
+    return np.concatenate(keys)
+
+
 def signature(grams: np.ndarray) -> np.ndarray:
     """One byte per bin from the smallest hash in it (1..255), 0 for an empty bin."""
     out = np.zeros(BINS, dtype=np.uint8)
@@ -192,7 +213,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ns.append(len(g))
             g = labelled(g)
             sigs.append(signature(g).tobytes())
-            keys.append(sketches(g))
+            keys.append(candidate_keys(g))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(cls, pa.binary()), pa.array(ns, pa.int32()),
              pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],

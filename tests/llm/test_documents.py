@@ -306,6 +306,22 @@ def test_alignment_against_the_whole_table():
     assert 100 < close < 300
 
 
+def test_short_texts_always_meet():
+    """Pairs of 0.8 with few k-mers share a key, whichever k-mers are common."""
+    rng = np.random.default_rng(9)
+    for n in range(4, ordermh.SHORT + 1):
+        for m in range(n, int(n / 0.8) + 1):
+            common = int(np.ceil(0.8 * (n + m) / 1.8 - 1e-9))
+            if common > n:
+                continue
+            for _ in range(60):
+                g = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64)
+                a, b = g[:n], np.concatenate([g[:common], g[n:]])
+                assert len(np.intersect1d(ordermh.candidate_keys(a), ordermh.candidate_keys(b))), (n, m)
+                assert ordermh.maybe_similar(ordermh.signature(a)[None], ordermh.signature(b)[None],
+                                             np.array([n]), np.array([m]))[0].all()
+
+
 def test_near_dedup_on_odd_rows(odd_documents, no_documents):
     got = collected(ordermh.near_duplicate_classes(odd_documents))
     by_id = {r.doc_id: (r.class_id, r.n_same, r.kept) for r in got}
