@@ -2,7 +2,7 @@
 
 A classifier trained on the labelled table gives every document posterior
 probabilities of the domains. With n the tokens and p the posteriors of a
-document, rates r >= 0 are sought that minimise
+document, rates r >= L (0, or 1 where no document may go) are sought that minimise
 
     sum over domains (sum(r n p) - T)^2 / (2 S D)  +  RIDGE / 2 sum(n (r - 1)^2)
 
@@ -11,7 +11,7 @@ tokens of all documents: expected domain totals near their targets, with rates n
 where the targets leave a choice. Every step is one distributed sum over the
 documents, and the step
 
-    r <- max(0, r - ETA (p . (sum(r n p) - T) / D + RIDGE (r - 1)))
+    r <- max(L, r - ETA (p . (sum(r n p) - T) / D + RIDGE (r - 1)))
 
 is the projected gradient scaled by n, which keeps the same minimum; the scaled
 curvature is a stochastic matrix plus RIDGE, so ETA < 2 / (1 + RIDGE) converges.
@@ -129,8 +129,8 @@ def membership(spark: SparkSession, text: Column, model: Optional[Classifier]) -
     return run(text)
 
 
-def _rate(p: Column, gaps: list[list[float]], start: Optional[Column] = None) -> Column:
-    """A document's rate after the steps with the given gaps, from ``start`` (1)."""
+def _rate(p: Column, gaps: list[list[float]], start: Optional[Column] = None, least: float = 0.0) -> Column:
+    """A document's rate, ``least`` or more, after the steps with the given gaps, from ``start`` (1)."""
     start = F.lit(1.0) if start is None else start
     if not gaps:
         return start
@@ -138,7 +138,7 @@ def _rate(p: Column, gaps: list[list[float]], start: Optional[Column] = None) ->
 
     def step(r: Column, g: Column) -> Column:
         slope = F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.greatest(F.lit(0.0), r - F.lit(ETA) * (slope + F.lit(RIDGE) * (r - 1)))
+        return F.greatest(F.lit(least), r - F.lit(ETA) * (slope + F.lit(RIDGE) * (r - 1)))
     return F.aggregate(steps, start, step)
 
 
@@ -155,8 +155,9 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], domains: tuple, neve
 
     Target shares are the ``weights`` of the known domains, scaled to 1 (domains without a weight
     keep their share of what is there). With ``never_drop`` targets are scaled up until no domain
-    has to give tokens away, so mixing only repeats documents.
+    has to give tokens away, and rates are 1 or more, so mixing only repeats documents.
     """
+    least = 1.0 if never_drop else 0.0
     size, natural = _shares(scored, F.lit(1.0), len(domains))
     if not size:
         return []
@@ -170,10 +171,10 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], domains: tuple, neve
     for k in range(STEPS):
         gaps.append(((share - target) / floor).tolist())
         if k and k % KEEP == 0:
-            kept = materialized(kept.withColumn("r", _rate(F.col("p"), gaps[since:-1], F.col("r"))), "mixing-rates")
+            kept = materialized(kept.withColumn("r", _rate(F.col("p"), gaps[since:-1], F.col("r"), least)), "mixing-rates")
             since = len(gaps) - 1
         last = share
-        _, share = _shares(kept, _rate(F.col("p"), gaps[since:], F.col("r")), len(domains))
+        _, share = _shares(kept, _rate(F.col("p"), gaps[since:], F.col("r"), least), len(domains))
         if np.abs(share - last).max() < TOLERANCE:
             break
     return gaps
@@ -204,7 +205,7 @@ def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float], do
     """The documents, each as often as its rate says, all columns as they are.
 
     A rate's fraction is one more copy with that chance, decided by a hash of
-    the id, so that expected totals are the fitted ones.
+    the id, so that expected totals are the fitted ones. With ``never_drop`` every document is there at least once.
     """
     spark = documents.sparkSession
     model = fit_classifier(documents, labels, domain)
@@ -215,7 +216,7 @@ def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float], do
     gaps = fit_rates(scored, weights, model.domains, never_drop)
     k_member, k_copy = fresh(documents, "membership", "copy")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = F.floor(_rate(F.col(f"{k_member}.p"), gaps) + chance).cast("int")
+    copies = F.floor(_rate(F.col(f"{k_member}.p"), gaps, least=1.0 if never_drop else 0.0) + chance).cast("int")
     return (documents.withColumn(k_member, membership(spark, F.col("text"), model))
             .withColumn(k_copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))
                                           .otherwise(F.array().cast("array<int>"))))

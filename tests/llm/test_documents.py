@@ -360,6 +360,23 @@ def test_rates_are_projected_gradient(shipped):
     assert np.allclose((n * got) @ p / n.sum(), [0.7, 0.2, 0.1], atol=0.02) and (got >= 0).all()
 
 
+def test_mixing_drops_nothing_of_overlapping_domains(shipped):
+    """Domains that overlap and whose natural shares are far from the weights."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(800):
+        good = rng.random() < 0.7
+        rows.append((i, "".join(rng.choice("aB!") if rng.random() < (0.25 if good else 0.45) else rng.choice("a b")
+                                for _ in range(rng.randint(20, 200))), "01"[good]))
+    docs = shipped.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = shipped.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality string")
+    weights = {"1": 0.88, "0": 0.12}
+    out = [r.doc_id for r in mixing.mixed(docs, labels, weights, ["quality"]).select("doc_id").collect()]
+    assert set(out) == set(range(800)) and len(out) > 900
+    dropping = mixing.mixed(docs, labels, weights, ["quality"], never_drop=False).select("doc_id").distinct()
+    assert dropping.count() < 800  # where documents may go, some do
+
+
 def test_mixing_takes_effect(sf_dir, shipped):
     docs, labels = table(shipped, sf_dir, "documents"), table(shipped, sf_dir, "labels")
     out = mixing.mixed(docs, labels, {"1": 0.9, "0": 0.1}, ["quality"])
