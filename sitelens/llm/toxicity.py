@@ -1,11 +1,12 @@
-"""Toxicity by compression distance: two zstandard dictionaries, toxic and ordinary.
+"""Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text.
 
 A text is cut into windows at white space. Each window is compressed with the
-ordinary dictionary and with the toxic one, which holds the same ordinary
-content followed by content trained on toxic text; toxic wording makes the
-second length shorter. Shares of windows whose saving passes several
-thresholds and the mean saving are calibrated to a score on labelled rows that
-neither dictionary has seen.
+ordinary dictionary and with two toxic ones, which hold the same ordinary
+content followed by content trained on whole toxic texts, or on the words
+typical of them alone, which weighs these more; toxic wording makes the
+lengths shorter. Shares of windows whose saving passes several thresholds and
+the mean saving, by either toxic dictionary, are calibrated to a score on
+labelled rows that no dictionary has seen.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from typing import NamedTuple, Optional
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ class Model(NamedTuple):
     """Dictionaries' contents, weights of the features (last: intercept) and the score of an empty text."""
     ordinary: bytes
     toxic: bytes
+    typical: bytes
     weights: tuple
     prior: float
 
@@ -68,26 +71,32 @@ def _lengths(compressor: zs.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
     return out
 
 
+FEATURES = 3 + len(SAVINGS)  # of each toxic dictionary
+
+
 def features(compressors: tuple, texts: list[Optional[str]]) -> np.ndarray:
-    """One row per text: savings per byte and per window, best windows, shares of windows by saving."""
+    """One row per text: of each toxic dictionary savings per byte and per window, best windows, shares by saving."""
     parts: list[bytes] = []
     ends = []
     for t in texts:
         parts += windows(t or "")
         ends.append(len(parts))
-    out = np.zeros((len(texts), 3 + len(SAVINGS)))
+    out = np.zeros((len(texts), (len(compressors) - 1) * FEATURES))
     if not parts:
         return out
-    saved = (_lengths(compressors[0], parts) - _lengths(compressors[1], parts)).astype(np.float64)
+    plain = _lengths(compressors[0], parts)
     size = np.fromiter(map(len, parts), np.float64, len(parts))
-    lo = 0
-    for i, hi in enumerate(ends):
-        if hi > lo:
-            s = saved[lo:hi]
-            best = np.sort(s)[::-1][:3]
-            out[i, :3] = s.sum() / (size[lo:hi].sum() + 20), s.mean(), best.mean()
-            out[i, 3:] = [(s >= b).mean() for b in SAVINGS]
-        lo = hi
+    for k, c in enumerate(compressors[1:]):
+        saved = (plain - _lengths(c, parts)).astype(np.float64)
+        made = out[:, k * FEATURES:(k + 1) * FEATURES]
+        lo = 0
+        for i, hi in enumerate(ends):
+            if hi > lo:
+                s = saved[lo:hi]
+                best = np.sort(s)[::-1][:3]
+                made[i, :3] = s.sum() / (size[lo:hi].sum() + 20), s.mean(), best.mean()
+                made[i, 3:] = [(s >= b).mean() for b in SAVINGS]
+            lo = hi
     return out
 
 
@@ -134,21 +143,21 @@ def train(rows: list[tuple]) -> Model:
     check = [(t or "", y) for f, t, y in rows if f != 0]
     prior = sum(y for _, _, y in rows) / len(rows) if rows else 0.0
     if any(len({y for _, y in part}) < 2 for part in (learn, check)):
-        return Model(b"", b"", (0.0,) * (4 + len(SAVINGS)), prior)
+        return Model(b"", b"", b"", (0.0,) * (1 + 2 * FEATURES), prior)
     count = {0: Counter(), 1: Counter()}
     for t, y in learn:
         count[y].update(set(t.lower().split()))
     n = Counter(y for _, y in learn)
     typical = {w for w, c in count[1].items()
                if c >= max(3, LEAST_SHARE * n[1]) and c / n[1] > LIFT * (count[0][w] + 1) / (n[0] + 1)}
-    # each dictionary is trained on its class without the other class's typical words
-    plain = [p for t, y in learn if y == 0
-             for p in _pieces(" ".join(w for w in t.lower().split() if w not in typical))]
-    toxic = [" ".join(w for w in t.lower().split() if w in typical).encode() for t, y in learn if y == 1]
-    ordinary = _trained(plain[:60_000], ORDINARY_BYTES, 32) or b" "
-    extra = _trained([s for s in toxic if len(s) > 8], TOXIC_BYTES, 16) if typical else b""
-    model = Model(ordinary, ordinary + extra, (), prior)
-    x = features(_pair(model), [t for t, _ in check])
+    whole = [sorted((p for t, y in learn if y == v for p in _pieces(t.lower())), key=xxhash.xxh64_intdigest)
+             for v in (0, 1)]
+    words = [" ".join(w for w in t.lower().split() if w in typical).encode() for t, y in learn if y == 1]
+    ordinary = _trained(whole[0], ORDINARY_BYTES, 32) or b" "
+    toxic = _trained(whole[1], TOXIC_BYTES, 16)
+    extra = _trained([s for s in words if len(s) > 8], TOXIC_BYTES, 16) if typical else b""
+    model = Model(ordinary, ordinary + toxic, ordinary + extra, (), prior)
+    x = features(_compressors(model), [t for t, _ in check])
     y = np.array([v for _, v in check], dtype=np.float64)
     w = _logistic(x, y)
     # the best cut is moved to THRESHOLD
@@ -161,8 +170,8 @@ def _pieces(text: str) -> list[bytes]:
     return [raw[i:i + 200] for i in range(0, len(raw), 200)]
 
 
-def _pair(model: Model) -> tuple:
-    return _compressor(model.ordinary), _compressor(model.toxic)
+def _compressors(model: Model) -> tuple:
+    return tuple(map(_compressor, (model.ordinary, model.toxic, model.typical)))
 
 
 def fit(documents: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
@@ -195,16 +204,16 @@ def score(spark: SparkSession, model: Model, text):
     @pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m: Model = shared.value
-        pair = _pair(m) if m.ordinary else None
+        compressors = _compressors(m) if m.ordinary else None
         w = np.array(m.weights)
         for texts in batches:
-            if pair is None:
+            if compressors is None:
                 yield pd.Series(np.full(len(texts), m.prior))
                 continue
             out = np.empty(len(texts))
             values = texts.tolist()
             for lo in range(0, len(values), 500):
-                z = features(pair, values[lo:lo + 500]) @ w[:-1] + w[-1]
+                z = features(compressors, values[lo:lo + 500]) @ w[:-1] + w[-1]
                 out[lo:lo + 500] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pd.Series(out)
 

@@ -107,6 +107,26 @@ def test_toxicity_finds_planted_words(shipped):
     assert sum(p == y for p, y in held) / len(held) > 0.93
 
 
+def test_toxicity_of_phrases_of_ordinary_words():
+    """Words that ordinary texts hold too tell toxic texts by their phrases; no word is typical."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rng.randint(1, 4)))
+    phrase = "silver window garden teacher purple monday".split()
+    rows = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        parts = [word() for _ in range(120)]
+        for _ in range(10):
+            at = rng.randrange(100)
+            parts[at:at] = phrase if toxic else rng.sample(phrase, len(phrase))[:2]
+        rows.append((i % 2, " ".join(parts), int(toxic)))
+    model = toxicity.train(rows[:600])
+    x = toxicity.features(toxicity._compressors(model), [t for _, t, _ in rows[600:]])
+    z = x @ np.array(model.weights[:-1]) + model.weights[-1]
+    hits = [(s >= np.log(0.7 / 0.3)) == y for s, (_, _, y) in zip(z, rows[600:])]
+    assert model.typical == model.ordinary and np.mean(hits) > 0.75
+
+
 def test_toxicity_on_odd_rows(odd_documents, no_documents, shipped):
     labels = shipped.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd_documents, labels).collect()
