@@ -141,3 +141,25 @@ def materialized(df: DataFrame, purpose: str) -> DataFrame:
     ship_package(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sampled_texts(documents: DataFrame, ids: DataFrame, most_chars: int, total_chars: int) -> list:
+    """Rows of ``ids`` (one per doc_id, a bounded number) with the smallest text of each id, sorted by doc_id.
+
+    However many rows an id has, one leaves the executors. Texts of more than ``most_chars`` characters are
+    not taken; by a hash of the id, texts are taken as long as they have ``total_chars`` characters in all.
+    """
+    # ids has a bounded number of rows: a proven bound for the broadcast
+    found = materialized(documents.select("doc_id", "text").filter(F.length("text") <= most_chars)
+                         .join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text")),
+                         "labelled-sample")
+    order = F.xxhash64("doc_id")
+    sizes = sorted((r["h"], r["doc_id"], r["n"])
+                   for r in found.select(order.alias("h"), "doc_id", F.length("text").alias("n")).collect())
+    total = 0
+    for h, i, n in sizes:
+        total += n
+        if total > total_chars:
+            found = found.filter((order < F.lit(h)) | ((order == F.lit(h)) & (F.col("doc_id") < F.lit(i))))
+            break
+    return sorted(found.collect(), key=lambda r: r["doc_id"])

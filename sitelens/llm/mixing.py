@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, materialized
+from .common import fresh, materialized, sampled_texts
 
 RIDGE = 0.01
 ETA = 0.95
@@ -40,6 +40,7 @@ TOLERANCE = 2e-4     # change of a domain's share of all tokens between steps th
 # Bound of the labelled sample that trains the classifier; rows are taken by a hash of the id.
 SAMPLE = 12_000
 SAMPLE_CHARS = 100_000
+SAMPLE_TOTAL = 64_000_000  # characters of all its texts
 
 
 class Classifier(NamedTuple):
@@ -87,15 +88,12 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domain: list[str]) -
     """Train on at most SAMPLE labelled documents; None if no domain is labelled.
 
     A domain is a combination of values of the label columns ``domain``, joined by |. Labels
-    with nulls are left out; of several labels of one id the smallest counts.
+    with nulls are left out; of several labels or texts of one id the smallest counts.
     """
     known = (labels.dropna(subset=["doc_id", *domain]).groupBy("doc_id")
              .agg(F.min(F.array_join(F.array(*[F.col(c).cast("string") for c in domain]), "|")).alias("domain"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    # the sample has at most SAMPLE rows: a proven bound for the broadcast
-    rows = sorted((r["domain"], r["text"]) for r in documents.select("doc_id", "text")
-                  .filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(known), "doc_id")
-                  .select("domain", "text").collect())
+    rows = sorted((r["domain"], r["text"]) for r in sampled_texts(documents, known, SAMPLE_CHARS, SAMPLE_TOTAL))
     if not rows:
         return None
     names = tuple(sorted({d for d, _ in rows}))

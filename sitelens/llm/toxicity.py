@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh
+from .common import fresh, sampled_texts
 
 THRESHOLD = 0.7          # score from which a text is predicted toxic
 WINDOW_BYTES = 96
@@ -34,6 +34,7 @@ SAVINGS = (1, 2, 3, 4, 5, 6, 8)  # bytes
 # Bounds of the labelled sample that training uses; rows are taken by a hash of the id.
 SAMPLE_TOXIC = 6_000
 SAMPLE_ORDINARY = 9_000
+SAMPLE_TOTAL = 64_000_000  # characters of all its texts
 SAMPLE_CHARS = 100_000   # longer labelled texts are not taken for training (all are scored)
 # A word is typical of toxic text if its share of toxic texts is so many times that of ordinary ones.
 LIFT = 30.0
@@ -178,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: bool = True) -> Model
     """Train on a bounded sample of the labelled documents (the bounds are this module's SAMPLE_*).
 
     With ``held_out``, rows whose crc32(doc_id as text) mod 3 is 1 are never
-    used. Of several labels of one id the larger counts; null ids, texts and labels are left out.
+    used. Of several labels of one id the larger counts, of several texts the smallest; null ids, texts and labels are left out.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     known = (labels.filter("doc_id is not null and toxic is not null")
@@ -187,14 +188,11 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: bool = True) -> Model
     if held_out:
         known = known.filter("fold <> 1")
     ids = None
-    # ids of at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows: a proven bound for the broadcast
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    sample = (documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
-              .join(F.broadcast(ids), "doc_id").select("doc_id", "fold", "text", "toxic"))
-    rows = sorted((r["doc_id"], r["fold"], r["text"], r["toxic"]) for r in sample.collect())
-    return train([(0 if f == 0 else 1, t, y) for _, f, t, y in rows])
+    rows = sampled_texts(documents, ids, SAMPLE_CHARS, SAMPLE_TOTAL)
+    return train([(0 if r["fold"] == 0 else 1, r["text"], r["toxic"]) for r in rows])
 
 
 def score(spark: SparkSession, model: Model, text):

@@ -127,6 +127,22 @@ def test_toxicity_of_phrases_of_ordinary_words():
     assert model.typical == model.ordinary and np.mean(hits) > 0.75
 
 
+def test_samples_take_one_row_of_an_id(shipped, monkeypatch):
+    """However many rows an id has, one is collected, and all texts have a bound in characters."""
+    docs = shipped.createDataFrame([(1, f"copy {i}") for i in range(50)] + [(i, "x" * 100) for i in range(2, 30)] + [(30, None)],
+                                   "doc_id long, text string")
+    labels = shipped.createDataFrame([(i, i % 2, i % 2) for i in range(1, 31)], "doc_id long, toxic int, quality int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.append(rows))
+    monkeypatch.setattr(mixing, "_train", lambda x, y, names: seen.append(x))
+    toxicity.fit(docs, labels, held_out=False)
+    mixing.fit_classifier(docs, labels, ["quality"])
+    assert [len(rows) for rows in seen] == [29, 29] and "copy 0" in [t for _, t, _ in seen[0]]
+    monkeypatch.setattr(toxicity, "SAMPLE_TOTAL", 1000)
+    toxicity.fit(docs, labels, held_out=False)
+    assert 900 < sum(len(t) for _, t, _ in seen[2]) <= 1000
+
+
 def test_toxicity_on_odd_rows(odd_documents, no_documents, shipped):
     labels = shipped.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd_documents, labels).collect()
