@@ -123,6 +123,21 @@ def test_suffix_runs_against_brute_force():
         assert got == want
 
 
+def test_hosts_count_as_a_whole(shipped):
+    """Copies of a page keep their text, and neither partitions nor the number of pages leave menus in."""
+    menu = "home products about us contact jobs press legal"
+    own = [" ".join(f"word{k * 100 + i}" for i in range(12)) for k in range(2060)]
+    rows = [(k, "http://large/x", f"<div>{menu}</div><div>{own[k]}</div>") for k in range(2060)]
+    rows += [(k, "http://small/x", f"<div>{menu}</div><div>{own[k - 3000]}</div>") for k in range(3000, 3004)]
+    rows += [(k, "http://copies/x", f"<div>{menu}</div><div>{own[0]}</div>") for k in range(4000, 4005)]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in pagetext.extract_text(pages).collect()}
+    assert len(got) == len(rows) and all(got[k] == own[k] for k in range(2060))
+    assert [got[k] for k in range(3000, 3004)] == own[:4]
+    assert {got[k] for k in range(4000, 4005)} == {f"{menu}\n{own[0]}"}
+    assert pagetext.chunk_texts([rows[-1][2]] * 5) == [f"{menu}\n{own[0]}"] * 5
+
+
 def test_page_query_on_odd_rows(shipped):
     rows = [(1, "http://h/1", ARTICLE), (1, "http://h/1", ARTICLE), (None, None, None), (2, "not a url", "<p>x")]
     pages = shipped.createDataFrame([(*r, "y") for r in rows], "page_id long, url string, html string, text string")
