@@ -21,6 +21,7 @@ short list of these, and written down every KEEP steps.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from typing import NamedTuple, Optional
 
@@ -34,15 +35,19 @@ from .common import fresh, materialized, sampled_texts
 
 RIDGE = 0.01
 ETA = 0.95
-STEPS = 40           # most steps; ends earlier when totals stay
+STEPS = 100          # most steps; ends earlier when totals are met or stay
 KEEP = 10
-TOLERANCE = 2e-4     # change of a domain's share of all tokens between steps that counts as none
+MET = 0.01           # gap of a domain's total, relative to its target, that counts as none
+STILL = 5e-4         # change of a domain's total in a step, relative to its target, that counts as none
 # Bound of the labelled sample that trains the classifier; rows are taken by a hash of the id.
 SAMPLE = 12_000
 SAMPLE_CHARS = 100_000
 SAMPLE_TOTAL = 64_000_000  # characters of all its texts
 
 
+_log = logging.getLogger(__name__)
+
+
 class Classifier(NamedTuple):
     """Softmax over standardised features; the last weight of a domain is its intercept."""
     weights: np.ndarray
@@ -154,6 +159,10 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], domains: tuple, neve
     Target shares are the ``weights`` of the known domains, scaled to 1 (domains without a weight
     keep their share of what is there). With ``never_drop`` targets are scaled up until no domain
     has to give tokens away, and rates are 1 or more, so mixing only repeats documents.
+
+    The steps end when all totals are within MET of their targets or, where RIDGE and the least
+    rate keep them off, when no total moves by STILL. Targets missed, steps that ran out and
+    weights of domains that the classifier does not know are logged as warnings.
     """
     least = 1.0 if never_drop else 0.0
     size, natural = _shares(scored, F.lit(1.0), len(domains))
@@ -173,8 +182,17 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], domains: tuple, neve
             since = len(gaps) - 1
         last = share
         _, share = _shares(kept, _rate(F.col("p"), gaps[since:], F.col("r"), least), len(domains))
-        if np.abs(share - last).max() < TOLERANCE:
+        wanted = np.maximum(target, 1e-6)
+        met = (np.abs(share - target) <= MET * wanted).all()
+        if met or (np.abs(share - last) <= STILL * wanted).all():
             break
+    else:
+        _log.warning("mixing: totals still move after %d steps", STEPS)
+    if not met:
+        _log.warning("mixing: reached and target shares: %s",
+                     ", ".join(f"{d} {s:.4f} of {t:.4f}" for d, s, t in zip(domains, share, target)))
+    if unknown := sorted(set(weights) - set(domains)):
+        _log.warning("mixing: no labelled document in the sample for the weights of %s", ", ".join(unknown))
     return gaps
 
 

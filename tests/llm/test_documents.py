@@ -396,6 +396,21 @@ def test_rates_are_projected_gradient(shipped):
     assert np.allclose((n * got) @ p / n.sum(), [0.7, 0.2, 0.1], atol=0.02) and (got >= 0).all()
 
 
+def test_totals_reach_small_targets_or_say_so(shipped, caplog):
+    """A small domain's total is held against its own target, and what is missed is reported."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([3.0, 0.5, 0.2], 400)
+    n = rng.integers(50, 500, 400)
+    scored = shipped.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    weights = {"a": 0.85, "b": 0.13, "c": 0.02, "rare": 0.5}
+    target = np.array([0.85, 0.13, 0.02])
+    gaps = mixing.fit_rates(scored, weights, ("a", "b", "c"), False)
+    got, best = (n * brute_rates(p, n, target, len(gaps))) @ p / n.sum(), (n * brute_rates(p, n, target, 5000)) @ p / n.sum()
+    assert (np.abs(got - target) <= 0.01 * target).all() or (np.abs(got - best) <= 0.05 * target).all()
+    assert "weights of rare" in caplog.text
+    assert ("target shares" in caplog.text) == bool((np.abs(got - target) > 0.01 * target).any())
+
+
 def test_mixing_drops_nothing_of_overlapping_domains(shipped):
     """Domains that overlap and whose natural shares are far from the weights."""
     rng = random.Random(12)
