@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, fingerprint, linefreq, mixing, ordermh, pagetext, piecebpe, tokencount, toxicity, warczip
+from . import (capfilter, fingerprint, gridcode, hashring, linefreq, mixing, ordermh, pagetext, phrases, piecebpe, tokencount,
+               toxicity, warczip)
 from .common import table
 
 # Target shares of the domains quality|toxic of op6.
@@ -56,9 +57,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermh.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashring.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridcode.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_warc_zip, op3_toxicity, op4_cap_filters, op5_page_text, op6_mixing,
-                            op7_token_counts, op8_pieces, op9_line_dedup, op10_near_dedup)}
+                            op7_token_counts, op8_pieces, op9_line_dedup, op10_near_dedup, op11_hash_ring, op12_phrases,
+                            op13_grid_codes)}
 
 # The archive's rows in plain SQL. DuckDB has no base32, so the digest's 160 bits are cut into fives.
 OP2_SQL = """
@@ -93,4 +107,5 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec
 FROM v JOIN comp c ON v.vec_id = c.id LEFT JOIN deg d ON v.vec_id = d.a
 """
 
-ORACLES = {"op2_warc_zip": OP2_SQL, "op4_cap_filters": OP4_SQL, "op9_line_dedup": linefreq.OP9_SQL}
+ORACLES = {"op2_warc_zip": OP2_SQL, "op4_cap_filters": OP4_SQL, "op9_line_dedup": linefreq.OP9_SQL,
+           "op11_hash_ring": hashring.OP11_SQL, "op12_phrases": phrases.OP12_SQL, "op13_grid_codes": gridcode.OP13_SQL}
