@@ -157,8 +157,11 @@ class Chunk:
                 text = pc.binary_join_element_wise(*(words.take(pa.array(ids[here + j])) for j in range(length)), " ")
                 yield text, length, start[active], n[active]
             made = _joined(prefix[group[at[first]]], hashes[last[first]])
+            # a false hit may be older than the subphrases: a phrase is known once they are, too
+            since = _step_of(made, table)
+            since = np.where(since > 0, np.maximum(since, start), 0)
             known, group = np.zeros(len(ids), dtype=known.dtype), np.zeros(len(ids), dtype=np.int64)
-            known[at], group[at], prefix = _step_of(made, table)[number], number, made
+            known[at], group[at], prefix = since[number], number, made
 
 
 def _count_shard(step: int, table: Broadcast, limits: Limits):
