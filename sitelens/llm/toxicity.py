@@ -5,8 +5,9 @@ ordinary dictionary and with two toxic ones, which hold the same ordinary
 content followed by content trained on whole toxic texts, or on the words
 typical of them alone, which weighs these more; toxic wording makes the
 lengths shorter. Shares of windows whose saving passes several thresholds and
-the mean saving, by either toxic dictionary, are calibrated to a score on
-labelled rows that no dictionary has seen.
+the mean saving, by either toxic dictionary, are calibrated to a score by
+cross-fitting: each half of the labelled rows is measured with dictionaries of
+the other half.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from .common import fresh, sampled_texts
 THRESHOLD = 0.7          # score from which a text is predicted toxic
 WINDOW_BYTES = 96
 ORDINARY_BYTES = 128 << 10
-TOXIC_BYTES = 2 << 10
+TOXIC_BYTES = 16 << 10
+TYPICAL_BYTES = 2 << 10
 SAVINGS = (1, 2, 3, 4, 5, 6, 8)  # bytes
 # Bounds of the labelled sample that training uses; rows are taken by a hash of the id.
 SAMPLE_TOXIC = 6_000
 SAMPLE_ORDINARY = 9_000
-SAMPLE_TOTAL = 64_000_000  # characters of all its texts
+SAMPLE_TOTAL = 24_000_000  # characters of all its texts
 SAMPLE_CHARS = 100_000   # longer labelled texts are not taken for training (all are scored)
 # A word is typical of toxic text if its share of toxic texts is so many times that of ordinary ones.
 LIFT = 30.0
@@ -134,36 +136,43 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def train(rows: list[tuple]) -> Model:
-    """A model from bounded (fold, text, toxic) rows: fold 0 trains dictionaries, others calibrate.
-
-    Without toxic or without ordinary rows in either part, every score is the
-    share of toxic rows (0 if there are no rows).
-    """
-    learn = [(t or "", y) for f, t, y in rows if f == 0]
-    check = [(t or "", y) for f, t, y in rows if f != 0]
-    prior = sum(y for _, _, y in rows) / len(rows) if rows else 0.0
-    if any(len({y for _, y in part}) < 2 for part in (learn, check)):
-        return Model(b"", b"", b"", (0.0,) * (1 + 2 * FEATURES), prior)
+def _dictionaries(rows: list[tuple], prior: float) -> Model:
+    """Contents trained on (text, toxic) rows, without weights."""
     count = {0: Counter(), 1: Counter()}
-    for t, y in learn:
+    for t, y in rows:
         count[y].update(set(t.lower().split()))
-    n = Counter(y for _, y in learn)
+    n = Counter(y for _, y in rows)
     typical = {w for w, c in count[1].items()
                if c >= max(3, LEAST_SHARE * n[1]) and c / n[1] > LIFT * (count[0][w] + 1) / (n[0] + 1)}
-    whole = [sorted((p for t, y in learn if y == v for p in _pieces(t.lower())), key=xxhash.xxh64_intdigest)
+    whole = [sorted((p for t, y in rows if y == v for p in _pieces(t.lower())), key=xxhash.xxh64_intdigest)
              for v in (0, 1)]
-    words = [" ".join(w for w in t.lower().split() if w in typical).encode() for t, y in learn if y == 1]
+    words = [" ".join(w for w in t.lower().split() if w in typical).encode() for t, y in rows if y == 1]
     ordinary = _trained(whole[0], ORDINARY_BYTES, 32) or b" "
     toxic = _trained(whole[1], TOXIC_BYTES, 16)
-    extra = _trained([s for s in words if len(s) > 8], TOXIC_BYTES, 16) if typical else b""
-    model = Model(ordinary, ordinary + toxic, ordinary + extra, (), prior)
-    x = features(_compressors(model), [t for t, _ in check])
-    y = np.array([v for _, v in check], dtype=np.float64)
+    extra = _trained([s for s in words if len(s) > 8], TYPICAL_BYTES, 16) if typical else b""
+    return Model(ordinary, ordinary + toxic, ordinary + extra, (), prior)
+
+
+def train(rows: list[tuple]) -> Model:
+    """A model from bounded (fold, text, toxic) rows, fold 0 or another number.
+
+    Dictionaries of each half of the rows (fold 0, the others) measure the other
+    half; these features, of texts that their dictionaries have not seen, calibrate
+    the weights. The model's own dictionaries are trained on all rows. Without toxic
+    or without ordinary rows in either half, every score is the share of toxic
+    rows (0 if there are no rows).
+    """
+    halves = [[(t or "", y) for f, t, y in rows if (f == 0) == first] for first in (True, False)]
+    prior = sum(y for _, _, y in rows) / len(rows) if rows else 0.0
+    if any(len({y for _, y in half}) < 2 for half in halves):
+        return Model(b"", b"", b"", (0.0,) * (1 + 2 * FEATURES), prior)
+    x = np.vstack([features(_compressors(_dictionaries(learn, prior)), [t for t, _ in check])
+                   for learn, check in (halves, halves[::-1])])
+    y = np.array([v for half in halves[::-1] for _, v in half], dtype=np.float64)
     w = _logistic(x, y)
     # the best cut is moved to THRESHOLD
     w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ w[:-1] + w[-1], y)
-    return model._replace(weights=tuple(w))
+    return _dictionaries(halves[0] + halves[1], prior)._replace(weights=tuple(w))
 
 
 def _pieces(text: str) -> list[bytes]:
@@ -233,7 +242,12 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is below THRESHOLD, all columns as they are."""
+    """The documents whose score is below THRESHOLD, all columns as they are.
+
+    A null or empty text is scored as a text without windows; null ids, repeated
+    rows and texts of any length are scored like others; an empty table stays empty.
+    A column named like the helper column of the score passes through.
+    """
     model = fit(documents, labels)
     (name,) = fresh(documents, "toxicity")
     return (documents.withColumn(name, score(documents.sparkSession, model, F.col("text")))
