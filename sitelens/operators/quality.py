@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.amenities import CAMPGROUND_TYPES, RESTROOM_CATEGORIES, WATER_CATEGORIES
@@ -234,11 +234,12 @@ def key_report(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
             "row_count", "null_key_rows", "duplicate_key_groups", "excess_rows")
 
 
-def issue_summary(issues: DataFrame, shown: int = 10):
-    """(first ``shown`` issues in order, number of issues not shown)."""
-    ordered = issues.orderBy("issue", "record_key")
-    total = issues.count()
-    return ordered.limit(shown), max(0, total - shown)
+def issue_summary(issues: DataFrame, shown: int = 10) -> tuple[list, int]:
+    """(first ``shown`` issues in order, number of issues not shown), in one pass over the issues."""
+    total = Observation("issues")
+    first = (issues.observe(total, F.count(F.lit(1)).alias("n"))
+             .orderBy("issue", "record_key").limit(shown).collect())
+    return first, max(0, total.get["n"] - len(first))
 
 
 def verify_all_activities(results: DataFrame, bridge: DataFrame,

@@ -8,21 +8,22 @@ build side keeps one cell, and an equi-join on the cell is followed by the
 exact haversine test. The plan is an ordinary equi-join, so Spark is free
 to broadcast a side that is small at run time (adaptive execution checks
 the size), or to shuffle both and split skewed cells (adaptive skew join).
-Optional salting splits a hot cell deterministically by key.
+A cell with more rows than a bound is split into an octree whose leaves
+are within it (``split_hot_cells``); probes go only to the leaves that they
+reach.
 
-``nearest_per_key`` is an exact k-nearest search built from radius joins
-with a growing radius, processing only the probe keys that still have
-fewer than k neighbours; ``duplicate_pairs`` blocks on (name, cell).
+``duplicate_pairs`` blocks on (name, cell). Counts within a radius and the
+nearest rows come from ``pyramid``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import (EARTH_RADIUS_KM, grid_cell_width, haversine_atan2_km,
+from ..functions.geo import (EARTH_RADIUS_KM, chord_for_km, grid_cell_width, haversine_atan2_km,
                              haversine_km, rounded_km, unit_vector)
 from ..session import ensure_checkpoint_dir
 
@@ -60,38 +61,115 @@ def with_neighbour_cells(df: DataFrame, lat: str, lon: str, width: float) -> Dat
                     (F.col("_cz") + F.col("_nb.dz")).alias("_cz"))
 
 
+KEYS = ("_cx", "_cy", "_cz")
+SPLIT_DEPTH = 10  # halvings of a hot cell; rows that lie closer together are dealt out by number
+
+
+def _scaled(lat: str, lon: str, width: float) -> list:
+    """The unit vector in cell widths: its floor is the cell, and that of 2**d times it the cell at depth d."""
+    return [v / F.lit(width) for v in unit_vector(lat, lon)]
+
+
+def _at_depth(depth) -> list:
+    return [F.floor(F.col(f"_s{k}") * F.pow(F.lit(2.0), depth)).alias(k) for k in KEYS]
+
+
+def split_hot_cells(build: DataFrame, lat: str, lon: str, width: float, most_rows: int) -> DataFrame | None:
+    """Leaves (root cell ``_r*``, ``_depth``, cell, ``_salts``) of the cells that hold more than ``most_rows`` rows;
+    None if there are none.
+
+    A hot cell is halved on each axis until a part is within the bound or
+    SPLIT_DEPTH is reached; a part of that depth that still holds more gets
+    salts. Cells of every depth are counted in one pass over the hot rows.
+    """
+    scaled = build.select(*[v.alias(f"_s{k}") for v, k in zip(_scaled(lat, lon, width), KEYS)])
+    counts = scaled.groupBy(*_at_depth(F.lit(0))).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > most_rows).checkpoint()
+    if hot.isEmpty():
+        return None
+    roots = hot.select(*[F.col(k).alias(f"_r{k}") for k in KEYS])
+    inside = scaled.select("*", *[c.alias(f"_r{k}") for c, k in zip(_at_depth(F.lit(0)), KEYS)]).join(
+        roots, [f"_r{k}" for k in KEYS], "left_semi")
+    depth = F.explode(F.sequence(F.lit(1), F.lit(SPLIT_DEPTH))).alias("_depth")
+    nodes = (inside.select("*", depth).select("_depth", *[f"_r{k}" for k in KEYS], *_at_depth(F.col("_depth")))
+             .groupBy("_depth", *[f"_r{k}" for k in KEYS], *KEYS).agg(F.count(F.lit(1)).alias("_n")).checkpoint())
+    # a part is opened if it is above the bound; leaves are the parts below an opened one that are not
+    opened = (nodes.where((F.col("_n") > most_rows) & (F.col("_depth") < SPLIT_DEPTH))
+              .select((F.col("_depth") + 1).alias("_depth"), *[F.col(k).alias(f"_u{k}") for k in KEYS]))
+    up = nodes.select("*", *[F.shiftright(k, 1).alias(f"_u{k}") for k in KEYS])
+    below = up.join(opened, ["_depth", *[f"_u{k}" for k in KEYS]], "left_semi").unionByName(up.where("_depth = 1"))
+    leaves = below.where((F.col("_n") <= most_rows) | (F.col("_depth") == SPLIT_DEPTH))
+    return (leaves.select(*[f"_r{k}" for k in KEYS], "_depth", *KEYS,
+                          F.ceil(F.col("_n") / most_rows).cast("int").alias("_salts")).checkpoint())
+
+
+def _split_sides(p: DataFrame, b: DataFrame, leaves: DataFrame, width: float, chord: float, probe: tuple,
+                 build: tuple) -> tuple[DataFrame, DataFrame]:
+    """Both sides keyed by (depth, cell, salt): rows of hot cells by the leaf that holds or reaches them."""
+    roots = leaves.select(*[f"_r{k}" for k in KEYS]).distinct()
+    at_root = [f"_r{k}" for k in KEYS]
+    plain = [F.lit(0).alias("_depth"), F.lit(0).cast("bigint").alias("_salt")]
+
+    def rooted(df):
+        return df.withColumnsRenamed({k: f"_r{k}" for k in KEYS})
+
+    def cold(df, columns):
+        return (rooted(df).join(roots, at_root, "left_anti").select(*columns, *[F.col(f"_r{k}").alias(k) for k in KEYS], *plain))
+
+    b_columns = [c for c in b.columns if c not in KEYS]
+    rows = (rooted(b).join(roots, at_root, "left_semi")
+            .select("*", *[v.alias(f"_s{k}") for v, k in zip(_scaled(*build, width), KEYS)],
+                    F.monotonically_increasing_id().alias("_number")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(SPLIT_DEPTH))).alias("_depth"))
+    rows = rows.select(*b_columns, "_number", "_depth", *_at_depth(F.col("_depth"))).join(
+        leaves.drop(*at_root), ["_depth", *KEYS])
+    hot_b = rows.select(*b_columns, *KEYS, "_depth", F.pmod("_number", F.col("_salts")).cast("bigint").alias("_salt"))
+
+    p_columns = [c for c in p.columns if c not in KEYS]
+    near = F.lit(0.0)
+    for v, k in zip(_scaled(*probe, width), KEYS):
+        low, edge = F.col(k) / F.pow(F.lit(2.0), F.col("_depth")), F.pow(F.lit(0.5), F.col("_depth"))
+        gap = F.greatest(F.lit(0.0), low - v, v - low - edge)
+        near = near + gap * gap
+    reached = rooted(p).join(leaves, at_root).where(F.sqrt(near) <= chord / width * (1 + 1e-9) + 1e-9)
+    hot_p = reached.select(*p_columns, *KEYS, "_depth", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1)).alias("_salt"))
+    return cold(p, p_columns).unionByName(hot_p), cold(b, b_columns).unionByName(hot_b)
+
+
 def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
                 probe_lat: str, probe_lon: str, build_lat: str, build_lon: str,
-                distance_col: str = "distance_km", salt_key: str | None = None,
-                salt_buckets: int = 1, extra_condition=None,
-                probe_rows_bound: int | None = None) -> DataFrame:
+                distance_col: str = "distance_km", extra_condition=None,
+                probe_rows_bound: int | None = None, cell_rows: int | None = None) -> DataFrame:
     """All (probe, build) row pairs whose rounded great-circle distance is
     <= ``radius_km`` (inclusive), with that distance in ``distance_col``.
 
-    Column names of the two inputs must not collide. ``salt_key`` (a build
-    column) with ``salt_buckets`` > 1 spreads each cell of the build side
-    over that many join keys; the probe side is replicated per salt value.
+    Column names of the two inputs must not collide.
     ``probe_rows_bound``: a caller-proven upper bound on probe rows (e.g. one
     primary-key value); when it is small the 27 x bound probe cells are
     broadcast, so the build side is streamed and never shuffled.
+    ``cell_rows``: build rows that may meet at one join key; cells above it are
+    counted (a job over the build side) and split.
     """
     if radius_km < 0 or math.isnan(radius_km):
         raise ValueError("radius_km must be a non-negative number")
-    width = grid_cell_width(min(radius_km + _ROUNDING_MARGIN_KM, MAX_SPHERE_KM))
+    reach = min(radius_km + _ROUNDING_MARGIN_KM, MAX_SPHERE_KM)
+    width = grid_cell_width(reach)
     # without coordinates there is no cell; such rows would all meet at one null key
     located = lambda df, lat, lon: df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    placed = located(build, build_lat, build_lon)
     p = with_neighbour_cells(located(probe, probe_lat, probe_lon), probe_lat, probe_lon, width)
-    b = with_cell(located(build, build_lat, build_lon), build_lat, build_lon, width)
-    keys = ["_cx", "_cy", "_cz"]
-    if salt_key is not None and salt_buckets > 1:
-        b = b.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_key)), F.lit(salt_buckets)))
-        p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                       F.lit(salt_buckets - 1).cast("bigint"))))
-        keys.append("_salt")
-    cond = [p[k] == b[k] for k in keys]
-    if probe_rows_bound is not None and probe_rows_bound * 27 * salt_buckets <= BROADCAST_ROWS:
+    b = with_cell(placed, build_lat, build_lon, width)
+    keys = list(KEYS)
+    if cell_rows is not None:
+        ensure_checkpoint_dir(build.sparkSession)
+        leaves = split_hot_cells(placed, build_lat, build_lon, width, cell_rows)
+        if leaves is not None:
+            p, b = _split_sides(p, b, leaves, width, chord_for_km(reach), (probe_lat, probe_lon), (build_lat, build_lon))
+            keys += ["_depth", "_salt"]
+    elif probe_rows_bound is not None and probe_rows_bound * 27 <= BROADCAST_ROWS:
         p = F.broadcast(p)
-    joined = p.join(b, cond, "inner")
+    joined = p.join(b, [p[k] == b[k] for k in keys], "inner")
     dist = rounded_km(haversine_km(p[probe_lat], p[probe_lon], b[build_lat], b[build_lon]))
     out_cols = ([p[c] for c in probe.columns] + [b[c] for c in build.columns]
                 + [dist.alias(distance_col)])
@@ -101,62 +179,6 @@ def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
     return res
 
 
-def radius_for_fraction(fraction: float) -> float:
-    """Great-circle radius whose spherical cap holds ``fraction`` of the sphere."""
-    f = min(max(fraction, 0.0), 1.0)
-    return EARTH_RADIUS_KM * math.acos(max(-1.0, 1.0 - 2.0 * f))
-
-
-def nearest_per_key(probe: DataFrame, build: DataFrame, k: int, *, probe_key: str,
-                    build_key: str, probe_lat: str, probe_lon: str, build_lat: str,
-                    build_lon: str, distance_col: str = "distance_km",
-                    rank_col: str = "distance_rank", start_radius_km: float | None = None,
-                    growth: float = 4.0) -> DataFrame:
-    """Exact k nearest build rows per probe row, ranked by (distance, build key).
-
-    Round r joins the still-open probe keys within radius r_i. A key with at
-    least min(k, |build|) neighbours inside r_i is final: every build row
-    outside r_i is farther than all of them. Other keys go to the next round
-    with a larger radius; the last round covers the whole sphere. Each
-    round's ranking keeps at most k rows per key before and after the
-    shuffle (window group limit), and is checkpointed to cut lineage.
-    """
-    if k < 1:
-        raise ValueError("k must be >= 1")
-    spark = probe.sparkSession
-    ensure_checkpoint_dir(spark)
-    # points without coordinates are near nothing and must not count as reachable
-    probe = probe.where(F.col(probe_lat).isNotNull() & F.col(probe_lon).isNotNull())
-    build = build.where(F.col(build_lat).isNotNull() & F.col(build_lon).isNotNull())
-    n_build = build.count()
-    target = min(k, n_build)
-    radius = start_radius_km if start_radius_km else radius_for_fraction(
-        min(1.0, 4.0 * target / max(1, n_build)))
-    radius = max(radius, 1.0)
-    w = Window.partitionBy(probe_key).orderBy(F.col(distance_col), F.col(build_key))
-    open_keys, out = probe, None
-    while True:
-        last_round = radius >= MAX_SPHERE_KM or not n_build
-        r = min(radius, MAX_SPHERE_KM)
-        pairs = radius_join(open_keys, build, r, probe_lat=probe_lat, probe_lon=probe_lon,
-                            build_lat=build_lat, build_lon=build_lon,
-                            distance_col=distance_col)
-        ranked = (pairs.withColumn(rank_col, F.row_number().over(w))
-                  .where(F.col(rank_col) <= k))
-        ranked = (ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(probe_key)))
-                  .checkpoint(eager=True))
-        # in the last round every key has all there is
-        done = (ranked if last_round else ranked.where(F.col("_n") >= target)).drop("_n")
-        out = done if out is None else out.unionByName(done)
-        if last_round:
-            return out
-        open_keys = (open_keys.join(done.select(probe_key).distinct(), probe_key, "left_anti")
-                     .checkpoint(eager=True))
-        if open_keys.isEmpty():
-            return out
-        radius *= growth
-
-
 def duplicate_pairs(df: DataFrame, *, key: str, name: str, lat: str, lon: str,
                     threshold_km: float = 1.0, normalizer=None) -> DataFrame:
     """Pairs (key_1 < key_2) with the same non-blank normalised name and

@@ -71,4 +71,4 @@ def _load():
         return
     _loaded = True
     from . import queries_search, queries_quality, queries_text, queries_entities  # noqa: F401
-    from . import queries_profile, queries_sources, queries_stats  # noqa: F401
+    from . import queries_profile, queries_sources, queries_stats, queries_typed  # noqa: F401

@@ -271,9 +271,10 @@ def publish(spark: SparkSession, result: R.CleanResult, root: str,
     The issues audit must be empty; otherwise nothing is published."""
     issues = result.audits.get("issues")
     if issues is not None:
-        first = issues.limit(10).collect()
+        first, rest = Q.issue_summary(issues)
         if first:
-            raise JobCheckError(f"{len(first)}+ issues, first: {[tuple(r) for r in first]}")
+            shown = ", ".join(f"{r.issue} ({r.record_key})" for r in first)
+            raise JobCheckError(shown + (f" and {rest} more" if rest else ""))
     stage = StagedPublish(spark, root, overwrite=overwrite)
     try:
         for group in (result.tables, result.audits):

@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import apply
+from column_helpers import apply
 from sitelens.functions import amenities as A
 from sitelens.functions import geo as G
 from sitelens.functions import parse as PR

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.operators.spatial import duplicate_pairs, nearest_per_key, radius_join
+from sitelens.operators import pyramid as PY
+from sitelens.operators import spatial as SP
+from sitelens.operators.spatial import duplicate_pairs, radius_join
 
 R = 6371.0088
 
@@ -40,16 +42,82 @@ def test_radius_join_equals_brute_force(spark, radius):
     assert got == want
 
 
-def test_salted_join_is_the_same(spark):
-    a = _points(30, 3)
-    b = _points(50, 4)
+@pytest.mark.parametrize("radius", [0.0, 3.0, 900.0, 21000.0])
+def test_split_hot_cells_equal_brute_force(spark, radius):
+    """Half of the points in one cell: no join key above the bound, the same pairs."""
+    bound = 12
+    rnd = random.Random(11)
+    b = _points(60, 4) + [(1000 + i, 45.0 + rnd.uniform(0, 1e-3), 7.0 + rnd.uniform(0, 1e-3)) for i in range(150)]
+    a = _points(30, 3) + [(500, 45.0005, 7.0005), (501, None, 1.0)]
     pa = spark.createDataFrame(a, "pid long, plat double, plon double")
     pb = spark.createDataFrame(b, "bid long, lat double, lon double")
     kw = dict(probe_lat="plat", probe_lon="plon", build_lat="lat", build_lon="lon")
-    plain = {tuple(r) for r in radius_join(pa, pb, 800.0, **kw).select("pid", "bid").collect()}
-    salted = {tuple(r) for r in radius_join(pa, pb, 800.0, salt_key="bid", salt_buckets=4, **kw)
-              .select("pid", "bid").collect()}
-    assert plain == salted and plain
+    got = sorted((r.pid, r.bid) for r in radius_join(pa, pb, radius, cell_rows=bound, **kw).collect())
+    want = sorted((i, j) for i, x, y in a if x is not None for j, u, v in b if round(hav(x, y, u, v), 6) <= radius)
+    assert got == want
+    width = SP.grid_cell_width(min(radius + 1e-6, SP.MAX_SPHERE_KM))
+    leaves = SP.split_hot_cells(pb, "lat", "lon", width, bound)
+    p, q = SP._split_sides(SP.with_neighbour_cells(pa.where("plat is not null"), "plat", "plon", width),
+                           SP.with_cell(pb, "lat", "lon", width), leaves, width, SP.chord_for_km(radius + 1e-6),
+                           ("plat", "plon"), ("lat", "lon"))
+    sizes = q.groupBy(*SP.KEYS, "_depth", "_salt").count().collect()
+    assert sum(r["count"] for r in sizes) == len(b)
+    assert max(r["count"] for r in sizes) <= 2 * bound  # rows at one place are dealt out by number
+
+
+def test_no_hot_cell_needs_no_split(spark):
+    pb = spark.createDataFrame(_points(20, 4), "bid long, lat double, lon double")
+    assert SP.split_hot_cells(pb, "lat", "lon", 0.1, 1000) is None
+
+
+def nearest_per_key(probe, build, k, **kw):
+    kw.pop("start_radius_km", None)
+    return PY.nearest(probe, build, k, **kw)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+@pytest.mark.parametrize("radius", [0.0, 5.0, 300.0, 2500.0, 10007.557, 15000.0, 20015.2, 21000.0])
+def test_counts_equal_brute_force(spark, radius, levels):
+    """Poles, antimeridian, one place with many points, points and keys without a place."""
+    a = _points(12, 1) + [(900, None, 3.0), (901, 45.0, 7.0)]
+    b = _points(150, 2) + [(901, None, 3.0)]
+    pa = spark.createDataFrame(a, "pid long, plat double, plon double")
+    pb = spark.createDataFrame(b, "bid long, lat double, lon double")
+    got = {r.pid: r.n for r in PY.count_within(pa, pb, radius, probe_lat="plat", probe_lon="plon", lat="lat", lon="lon",
+                                               levels=levels).collect()}
+    assert got == {i: 0 if x is None else sum(round(hav(x, y, u, v), 6) <= radius for _, u, v in b if u is not None)
+                   for i, x, y in a}
+
+
+def test_counts_open_only_the_border(spark):
+    """With twice the radius four times the points are counted, and about twice as many compared."""
+    pb = spark.sql("select id, degrees(asin(2 * rand(1) - 1)) as lat, 360 * rand(2) - 180 as lon from range(40000)").cache()
+    pa = spark.createDataFrame([(1, 10.0, 20.0), (2, 89.0, 0.0)], "pid int, plat double, plon double")
+    pyramid = PY.Pyramid(pb, "lat", "lon", 3)
+    compared, inside = {}, {}
+    for r in (1500.0, 3000.0):
+        whole, border = PY.whole_and_border(pa, pyramid, r, probe_lat="plat", probe_lon="plon")
+        inside[r] = whole.agg(F.sum("n")).first()[0]
+        compared[r] = border.join(pyramid.cells(3), list(PY.CELL)).agg(F.sum("points")).first()[0]
+    assert inside[3000.0] > 3.5 * inside[1500.0] and compared[3000.0] < 2.6 * compared[1500.0]
+    assert compared[3000.0] < inside[3000.0]
+
+
+def test_nearest_compares_few_points(spark):
+    """A key far from all points, one in a dense spot and one in a sparse region: none looks at many points."""
+    pb = spark.sql("select id as bid, 45 + rand(1) / 100 as lat, 7 + rand(2) / 100 as lon from range(20000) union all "
+                   "select 50000 + id, degrees(asin(2 * rand(3) - 1)), 360 * rand(4) - 180 from range(2000)").cache()
+    pa = spark.createDataFrame([(1, 45.005, 7.005), (2, -44.0, -172.0), (3, 0.0, 90.0)], "pid int, plat double, plon double")
+    pyramid = PY.Pyramid(pb, "lat", "lon")
+    cells = PY.cells_of_nearest(pa, pyramid, 5, probe_lat="plat", probe_lon="plon")
+    met = cells.join(pyramid.cells(pyramid.levels), list(PY.CELL)).groupBy("_at_lat").agg(F.sum("points").alias("n")).collect()
+    assert len(met) == 3 and max(r.n for r in met) < 400
+    got = PY.nearest(pa, pb, 5, probe_key="pid", build_key="bid", probe_lat="plat", probe_lon="plon", build_lat="lat",
+                     build_lon="lon").collect()
+    points = [tuple(r) for r in pb.collect()]
+    for pid, x, y in ((1, 45.005, 7.005), (2, -44.0, -172.0), (3, 0.0, 90.0)):
+        want = sorted((round(hav(x, y, u, v), 6), j) for j, u, v in points)[:5]
+        assert sorted((r.distance_km, r.bid) for r in got if r.pid == pid) == want
 
 
 def test_nearest_per_key_equals_brute_force(spark):
