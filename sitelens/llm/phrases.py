@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Optional
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,6 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 # what one pass of character replacement makes of a text: pieces end at \n, words at a space
 FROM = UPPER + BREAKS + "\t"
 TO = UPPER.lower() + "\n" * len(BREAKS) + " "
-GAP, END = 0, 1              # word numbers of "" and "\n"
 STATE = "lang string, phrase string, words int, start int, n long"
 
 
@@ -50,44 +50,24 @@ STATE = "lang string, phrase string, words int, start int, n long"
 class Limits:
     """Sizes that bound a task's memory; results do not depend on them."""
     table_bits: int = 23
-    chunk_tokens: int = 1 << 21      # words counted together
+    chunk_bytes: int = 12 << 20      # of texts counted together
     segment_chars: int = 4 << 20     # longer texts are cut at a space, with the next words as context
-    vocabulary_bytes: int = 64 << 20
-
-
-class Vocabulary(dict):
-    """Numbers words in the order they come."""
-
-    def __init__(self):
-        super().__init__()
-        self.words: list[str] = []
-        self.bytes = 0
-        for w in ("", "\n"):
-            self[w]
-
-    def __missing__(self, word: str) -> int:
-        n = len(self.words)
-        self[word] = n
-        self.words.append(word)
-        self.bytes += len(word) + 150
-        return n
 
 
 def _segments(text: str, most: int) -> Iterator[tuple[str, str]]:
-    """A text in parts of bounded length, each with the words that follow it in its piece."""
+    """A text in parts of bounded length cut at a space, each with the words that follow it in its piece."""
     following = re.compile(r"(?: *[^ \n]+){0,%d}" % (MOST_WORDS - 1))
     lo = 0
     while len(text) - lo > most:
-        ends = [e for e in (text.find(" ", lo + most), text.find("\n", lo + most)) if e >= 0]
-        if not ends:
+        end = text.find(" ", lo + most)
+        if end < 0:
             break
-        yield text[lo:min(ends)], following.match(text, min(ends)).group()
-        lo = min(ends) + 1
+        yield text[lo:end], following.match(text, end).group()
+        lo = end + 1
     yield text[lo:], ""
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+word_hash = xxhash.xxh3_64_intdigest
 
 
 def _joined(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -107,102 +87,116 @@ def _step_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where((a > 0) & (b > 0), np.maximum(a, b), 0)
 
 
-class Chunk:
-    """Words of one language, counted together."""
-
-    def __init__(self):
-        self.ids: list[np.ndarray] = []
-        self.own: list[np.ndarray] = []
-        self.tokens = 0
-
-    def add(self, text: str, vocabulary: Vocabulary, segment_chars: int) -> None:
-        for core, tail in _segments(text, segment_chars):
-            for part, own in ((core, True), (tail, False)):
-                tokens = part.replace("\n", " \n ").split(" ")
-                got = np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                got = got[got != GAP]
-                self.ids.append(got)
-                self.own.append(np.full(len(got), own))
-                self.tokens += len(got)
-            self.ids.append(np.array([END]))
-            self.own.append(np.array([True]))
-
-    def counts(self, lang: str, step: int, table: np.ndarray, vocabulary: Vocabulary,
-               hashes: np.ndarray) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
-        """(phrases, words, starts, counts) of every length that has active phrases; 0 words: all words."""
-        ids, own = np.concatenate(self.ids), np.concatenate(self.own)
-        words = pa.array(vocabulary.words)
+class Words:
+    """The words of some texts of one language in order, numbered; a number of its own ends a piece."""
+
+    def __init__(self, lang: str, texts: pa.Array, own: Optional[int] = None):
+        """``own``: phrases that start after so many words are another part's."""
+        coded = pc.list_flatten(pc.split_pattern(texts, " ")).dictionary_encode()
+        self.words = coded.dictionary
+        ids = coded.indices.to_numpy()
+        names = self.words.to_pylist()
+        number = {w: i for i, w in enumerate(names) if len(w) < 2}
+        gap, self.end = number.get("", -1), number.get("\n", -1)
+        self.ids = ids[ids != gap]
+        self.real = np.array([i for i in (gap, self.end) if i >= 0], dtype=np.int64)
+        self.own = len(self.ids) if own is None else own
         seed = np.uint64(word_hash(lang))
-        hashes = mix64(hashes ^ seed)
+        self.hashes = mix64(np.fromiter(map(word_hash, names), dtype=np.uint64, count=len(names)) ^ seed)
+
+    def _distinct(self, at: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(one position, number of positions) of every different phrase of ``length`` at the positions ``at``."""
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        n = np.diff(np.append(first, len(at)))
+        at = at[order]
+        same = np.repeat(at[first], n)
+        if any((self.ids[at + j] != self.ids[same + j]).any() for j in range(length)):
+            # two phrases with one hash: tell them apart by their words
+            rows = np.stack([self.ids[at + j] for j in range(length)], axis=1)
+            _, first, n = np.unique(rows, axis=0, return_index=True, return_counts=True)
+        return at[first], n
+
+    def counts(self, step: int, table: np.ndarray) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+        """(phrases, words, starts, counts) of every length that has active phrases; 0 words: all words."""
+        ids = self.ids
         if step < SHARDS:
-            n = np.bincount(ids[own], minlength=END + 1)
-            n[END] = 0
+            n = np.bincount(ids[:self.own], minlength=len(self.words))
+            n[self.real] = 0
             seen = np.flatnonzero(n)
-            yield words.take(pa.array(seen)), 1, np.zeros(len(seen), dtype=np.int64), n[seen]
+            yield self.words.take(pa.array(seen)), 1, np.zeros(len(seen), dtype=np.int64), n[seen]
             yield pa.array([""]), 0, np.array([0]), np.array([n.sum()])
-        known = _step_of(hashes, table)
-        known[END] = 0
-        known, group, prefix = known[ids], ids, hashes
+        since = _step_of(self.hashes, table)
+        since[self.real] = 0
+        known = np.append(since[ids], 0)
+        at = np.flatnonzero(known[:-1])
+        made = self.hashes[ids[at]]
         for length in range(2, MOST_WORDS + 1):
-            at = np.flatnonzero((known[:-1] > 0) & (known[1:] > 0))
-            if not len(at):
+            # both subphrases are known: those at this position and at the next one
+            go = np.flatnonzero((known[at] > 0) & (known[at + 1] > 0))
+            if not len(go):
                 return
-            last = ids[at + length - 1]
-            _, first, number = np.unique(group[at] * len(vocabulary.words) + last, return_index=True, return_inverse=True)
-            start = np.maximum(known[at], known[at + 1])[first]
-            n = np.bincount(number[own[at]], minlength=len(first))
-            active = np.flatnonzero((step < start + SHARDS) & (n > 0))
+            at, made = at[go], _joined(made[go], self.hashes[ids[at[go] + length - 1]])
+            start = np.maximum(known[at], known[at + 1])
+            active = np.flatnonzero((step < start + SHARDS) & (at < self.own))
             if len(active):
-                here = at[first[active]]
-                text = pc.binary_join_element_wise(*(words.take(pa.array(ids[here + j])) for j in range(length)), " ")
-                yield text, length, start[active], n[active]
-            made = _joined(prefix[group[at[first]]], hashes[last[first]])
+                here, n = self._distinct(at[active], made[active], length)
+                text = pc.binary_join_element_wise(*(self.words.take(pa.array(ids[here + j])) for j in range(length)), " ")
+                yield text, length, np.maximum(known[here], known[here + 1]), n
+            if length == MOST_WORDS:
+                return
             # a false hit may be older than the subphrases: a phrase is known once they are, too
             since = _step_of(made, table)
-            since = np.where(since > 0, np.maximum(since, start), 0)
-            known, group = np.zeros(len(ids), dtype=known.dtype), np.zeros(len(ids), dtype=np.int64)
-            known[at], group[at], prefix = since[number], number, made
+            known = np.zeros(len(ids) + 1, dtype=known.dtype)
+            known[at] = np.where(since > 0, np.maximum(since, start), 0)
 
 
 def _count_shard(step: int, table: Broadcast, limits: Limits):
     """Arrow function over (lang, text): counts of the phrases that are active at this step."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(zlib.decompress(table.value), dtype=np.uint8)
-        vocabulary = Vocabulary()
-        hashes = np.zeros(0, dtype=np.uint64)
-        chunks: dict[str, Chunk] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal hashes
-            new = vocabulary.words[len(hashes):]
-            hashes = np.concatenate([hashes, np.fromiter(map(word_hash, new), dtype=np.uint64, count=len(new))])
-            for lang, chunk in chunks.items():
-                for text, words, start, n in chunk.counts(lang, step, known, vocabulary, hashes):
-                    size = len(text)
-                    if not size:
-                        continue
+
+        def counted(lang: str, texts: pa.Array, own: Optional[int] = None) -> Iterator[pa.RecordBatch]:
+            for text, words, start, n in Words(lang, texts, own).counts(step, known):
+                size = len(text)
+                if size:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * size, pa.string()), text, pa.array(np.full(size, words), pa.int32()),
                          pa.array(start, pa.int32()), pa.array(n, pa.int64())],
                         names=["lang", "phrase", "words", "start", "n"])
-            chunks.clear()
 
-        tokens = 0
+        def flushed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            lang, text = (t.column(c).combine_chunks() for c in ("lang", "text"))
+            for one in pc.unique(lang).to_pylist():
+                yield from counted(one, text.filter(pc.equal(lang, one)))
+
+        parts: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 32):
-                some = batch.slice(lo, 32)
-                for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    chunk = chunks.setdefault(lang, Chunk())
-                    before = chunk.tokens
-                    chunk.add(text, vocabulary, limits.segment_chars)
-                    tokens += chunk.tokens - before
-                    if tokens >= limits.chunk_tokens:
-                        yield from flush()
-                        tokens = 0
-                        if vocabulary.bytes > limits.vocabulary_bytes:
-                            vocabulary = Vocabulary()
-                            hashes = hashes[:0]
-        yield from flush()
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            long = np.flatnonzero(sizes > limits.segment_chars)
+            for i in long.tolist():
+                lang = batch.column("lang")[i].as_py()
+                for core, tail in _segments(batch.column("text")[i].as_py(), limits.segment_chars):
+                    own = len(core.split(" ")) - core.split(" ").count("")
+                    yield from counted(lang, pa.array([core + " " + tail + " \n"]), own)
+            batch = batch.filter(pa.array(sizes <= limits.segment_chars)) if len(long) else batch
+            ends = np.cumsum(sizes[sizes <= limits.segment_chars])
+            lo = 0
+            while lo < batch.num_rows:
+                done = ends[lo - 1] if lo else 0
+                hi = int(np.searchsorted(ends, done + limits.chunk_bytes - held, side="left")) + 1
+                hi = min(hi, batch.num_rows)
+                parts.append(batch.slice(lo, hi - lo))
+                held += int(ends[hi - 1] - done)
+                lo = hi
+                if held >= limits.chunk_bytes:
+                    yield from flushed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from flushed(parts)
     return run
 
 
@@ -243,7 +237,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     spark = docs.sparkSession
     ship_package(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), FROM, TO).alias("text")
+    # pieces end at a word of its own, the line end
+    text = F.concat(F.replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), FROM, TO), F.lit("\n"), F.lit(" \n ")),
+                    F.lit(" \n")).alias("text")
     folder = shared_folder(spark, "phrases")
     (docs.select(lang, text).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(SHARDS)).cast("int"))
      .write.partitionBy("shard").parquet(f"{folder}/texts"))

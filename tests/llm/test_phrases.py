@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitelens.llm import phrases, queries
@@ -70,7 +72,7 @@ def corpus(seed, docs):
 @pytest.mark.parametrize("bits,tokens,chars", [(23, 1 << 21, 4 << 20), (6, 40, 25), (3, 300, 60)])
 def test_equal_to_all_phrases(shipped, bits, tokens, chars):
     """Also with a table so small that it hits falsely, with small chunks, and with texts cut into parts."""
-    limits = phrases.Limits(bits, tokens, chars, 20 * tokens)
+    limits = phrases.Limits(bits, tokens, chars)
     rows = corpus(bits, 150)
     df = shipped.createDataFrame([(*r, "x", 1) for r in rows], "lang string, text string, phrase string, n int").repartition(3)
     assert mined(df, min_count=4, top=15, limits=limits) == brute(rows, 4, 15)
@@ -78,7 +80,7 @@ def test_equal_to_all_phrases(shipped, bits, tokens, chars):
 
 def test_segments_keep_every_phrase():
     rng = random.Random(1)
-    text = "".join(rng.choice(["a", "bb", "c"]) + rng.choice([" ", "  ", " ", "\n"]) for _ in range(500)) + "x" * 400 + " a bb"
+    text = "".join(rng.choice(["a", "bb", "c"]) + rng.choice([" ", "  ", " ", " \n "]) for _ in range(500)) + "x" * 400 + " a bb"
     whole = counted([("en", text)])[0]
     for chars in (1, 7, 50, 390):
         got = Counter()
@@ -94,6 +96,14 @@ def test_segments_keep_every_phrase():
         assert got == whole
 
 
+def test_phrases_of_one_hash_are_told_apart():
+    w = phrases.Words("en", pa.array(["a b c a b d a b c \n"]))
+    at = np.array([0, 3, 6])
+    for hashes in (np.zeros(3, dtype=np.uint64), np.array([1, 2, 1], dtype=np.uint64)):
+        here, n = w._distinct(at, hashes, 3)
+        assert sorted((tuple(w.ids[i:i + 3].tolist()), k) for i, k in zip(here, n)) == [((0, 1, 2), 2), ((0, 1, 3), 1)]
+
+
 def test_odd_documents(shipped, odd_documents, no_documents):
     rows = [(r.lang, r.text) for r in odd_documents.collect()]
     assert mined(odd_documents, min_count=2) == brute(rows, 2, 2000)
