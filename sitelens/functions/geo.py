@@ -69,3 +69,23 @@ def coordinate_text(col) -> Column:
     text = F.format_string("%.15g", c.cast("double"))
     text = F.regexp_replace(text, r"(\.\d*?)0+(?=$|e)", "$1")
     return F.when(c.isNotNull(), F.regexp_replace(text, r"\.(?=$|e)", ""))
+
+
+MORTON_BITS = 21
+
+
+def morton_key(lat, lon) -> Column:
+    """Place on the Z-order curve through the cube around the sphere: points close on the curve are close on
+    the sphere. NULL without coordinates."""
+    # (shift, mask) steps that leave two free bits after each of 21 bits
+    steps = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3),
+             (2, 0x1249249249249249))
+    table = F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(m).alias("mask")) for s, m in steps])
+    top = (1 << MORTON_BITS) - 1
+    key = F.lit(0).cast("bigint")
+    for axis, v in enumerate(unit_vector(lat, lon)):
+        cell = F.least(F.lit(top), F.greatest(F.lit(0), F.floor((v + 1.0) / 2.0 * top))).cast("bigint")
+        spread = F.aggregate(table, cell, lambda x, s: x.bitwiseOR(
+            F.call_function("shiftleft", x, s["shift"])).bitwiseAND(s["mask"]))
+        key = key.bitwiseOR(F.shiftleft(spread, axis))
+    return F.when(_c(lat).isNotNull() & _c(lon).isNotNull(), key)

@@ -8,8 +8,10 @@ as Arrow-batched pandas UDFs on executors.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -53,9 +55,30 @@ def normalize_site_subtype(col) -> Column:
     return F.upper(clean_text(col))
 
 
+@functools.cache
+def _folds() -> tuple[str, str, dict]:
+    """Full case folding of single characters: those that become one character (from, to), and those
+    that become several. Both follow from Python's own rule over all code points."""
+    folds = {chr(p): chr(p).casefold() for p in range(sys.maxunicode + 1) if chr(p) != chr(p).casefold()}
+    one = {c: f for c, f in folds.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+def casefold(col) -> Column:
+    """Full Unicode case folding: one character for one by translation, the few that become several by a
+    lookup, which only texts that hold one go through. ASCII texts are lower-cased."""
+    c = _c(col)
+    source, target, several = _folds()
+    plain = F.translate(c, source, target)
+    lookup = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(lookup, x), x)), "")
+    held = plain.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in several) + "]")
+    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(F.when(held, spread).otherwise(plain))
+
+
 def phrase_text(col) -> Column:
     """Cleaned, case-folded text for phrase rules."""
-    return F.lower(clean_text(col))
+    return casefold(clean_text(col))
 
 
 def first_non_blank(*cols) -> Column:

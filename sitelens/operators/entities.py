@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import preserve_identifier
+from ..functions.text import casefold, preserve_identifier
 
 
 def attribute_values(df: DataFrame, id_col: str, attrs: Sequence[str],
@@ -41,7 +41,7 @@ def value_counts(df: DataFrame, id_col: str, attrs: Sequence[str], clean=None) -
 
 def _choice_key():
     # Smallest key wins: highest count, then case-folded value, then value.
-    return F.struct((-F.col("value_count")).alias("n"), F.lower(F.col("value")).alias("f"),
+    return F.struct((-F.col("value_count")).alias("n"), casefold("value").alias("f"),
                     F.col("value").alias("v"))
 
 
@@ -88,19 +88,23 @@ def conflict_value_counts(df: DataFrame, id_col: str, attrs: Sequence[str], clea
                     "value_count"))
 
 
-def ordered_value_counts_text(long_counts: DataFrame, max_values: int | None = None
-                              ) -> DataFrame:
-    """Render ``{"value":count,...}`` per group in choice order, for groups
-    whose size is known to be small (e.g. a fixed vocabulary). The caller
-    asserts the bound; the long form above is the scalable output."""
+MOST_LISTED = 1000  # values of a group that are written as one text
+
+
+def ordered_value_counts_text(long_counts: DataFrame, max_values: int = MOST_LISTED) -> DataFrame:
+    """``{"value":count,...}`` per group in choice order, for the groups of at most
+    ``max_values`` values; larger ones have NULL here and stand in the long form alone. Groups
+    are counted before a value is gathered, so none is gathered beyond that bound."""
+    keys = ["entity_id", "source_column"]
+    sizes = long_counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    small = long_counts.join(sizes.where(F.col("_size") <= max_values), keys, "left_semi")
     ordered = F.sort_array(F.collect_list(F.struct(
-        (-F.col("value_count")).alias("n"), F.lower(F.col("value")).alias("f"),
+        (-F.col("value_count")).alias("n"), casefold("value").alias("f"),
         F.col("value").alias("v"), F.col("value_count").alias("c"))))
-    return (long_counts.groupBy("entity_id", "source_column")
-            .agg(ordered.alias("_o"))
-            .select("entity_id", "source_column",
-                    F.to_json(F.map_from_entries(F.transform(
-                        "_o", lambda x: F.struct(x["v"], x["c"])))).alias("value_counts")))
+    listed = (small.groupBy(*keys).agg(ordered.alias("_o"))
+              .select(*keys, F.to_json(F.map_from_entries(F.transform(
+                  "_o", lambda x: F.struct(x["v"], x["c"])))).alias("value_counts")))
+    return sizes.select(*keys).join(listed, keys, "left")
 
 
 def bridge_pairs(df: DataFrame, left: str, right: str) -> DataFrame:

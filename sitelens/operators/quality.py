@@ -42,18 +42,6 @@ def outside(col, low: float, high: float) -> Column:
     return F.coalesce(~_c(col).between(low, high), F.lit(False))
 
 
-def coordinate_issues(df: DataFrame, key: str, issue: str, lat: str = "latitude",
-                      lon: str = "longitude") -> DataFrame:
-    cond = outside(lat, -90.0, 90.0) | outside(lon, -180.0, 180.0)
-    return issues_where(df, cond, issue, record_key(key))
-
-
-def domain_issues(df: DataFrame, key: str, col: str, allowed: Iterable[str],
-                  issue: str) -> DataFrame:
-    cond = F.coalesce(~F.col(col).isin(list(allowed)), F.lit(False))
-    return issues_where(df, cond, issue, record_key(key))
-
-
 def negative_issues(df: DataFrame, keys: Sequence[str], col: str, issue: str) -> DataFrame:
     return issues_where(df, F.coalesce(F.col(col) < 0, F.lit(False)), issue,
                         record_key(*keys))
@@ -87,17 +75,6 @@ def orphan_issues(child, child_key, parent, parent_key, issue) -> DataFrame:
     return o.select(F.lit(issue).alias("issue"), record_key(child_key).alias("record_key"))
 
 
-def absence_issue(df: DataFrame, conditions: Sequence[Column], issue: str) -> DataFrame:
-    """One issue row when any of the conditions is satisfied by no row
-    (uncorrelated NOT EXISTS, evaluated as one global aggregate)."""
-    flags = [F.max(F.when(c, 1).otherwise(0)).alias(f"_e{i}") for i, c in enumerate(conditions)]
-    agg = df.agg(*flags)
-    missing = F.lit(False)
-    for i in range(len(conditions)):
-        missing = missing | (F.coalesce(F.col(f"_e{i}"), F.lit(0)) == 0)
-    return agg.where(missing).select(F.lit(issue).alias("issue"), F.lit("").alias("record_key"))
-
-
 def combine_one_row(*frames: DataFrame) -> DataFrame:
     """Side-by-side columns of several one-row aggregates (union + max;
     no join needed)."""
@@ -119,15 +96,6 @@ def cardinality_report(matrix: DataFrame, left: DataFrame, right: DataFrame) ->
     return r.withColumn("full_matrix_rows", F.col("park_count") * F.col("campground_count"))
 
 
-def cardinality_issue(matrix: DataFrame, left: DataFrame, right: DataFrame,
-                      issue: str = "incomplete_distance_matrix") -> DataFrame:
-    """Issue row when |matrix| != |left| x |right| (three counts, no pairs)."""
-    r = cardinality_report(matrix, left, right)
-    return (r.where(F.col("matrix_rows") != F.col("full_matrix_rows"))
-            .select(F.lit(issue).alias("issue"),
-                    F.col("matrix_rows").cast("string").alias("record_key")))
-
-
 def union_issues(parts: Iterable[DataFrame]) -> DataFrame:
     parts = list(parts)
     out = parts[0]
@@ -168,10 +136,9 @@ def absence_issues(df: DataFrame, checks: Sequence[tuple]) -> DataFrame:
 
 
 def location_issues(parks: DataFrame, campgrounds: DataFrame, areas: DataFrame,
-                    bridge: DataFrame, distances: DataFrame | None = None,
-                    full_matrix: bool = False) -> DataFrame:
+                    bridge: DataFrame, distances: DataFrame | None = None) -> DataFrame:
     """The rule set of the location tables (coordinates, domains, duplicate
-    pairs, matrix completeness, and coverage of link/category states).
+    pairs, and coverage of link/category states).
     Campground rules share one scan; coverage checks share one aggregate."""
     coord = outside("latitude", -90.0, 90.0) | outside("longitude", -180.0, 180.0)
     parts = [
@@ -198,8 +165,6 @@ def location_issues(parks: DataFrame, campgrounds: DataFrame, areas: DataFrame,
                                      [("invalid_recreation_area_coordinate", coord)]))
     if distances is not None:
         parts.append(distance_issues(distances))
-        if full_matrix:
-            parts.append(cardinality_issue(distances, parks, campgrounds))
     return union_issues(parts)
 
 
@@ -242,17 +207,6 @@ def issue_summary(issues: DataFrame, shown: int = 10) -> tuple[list, int]:
     return first, max(0, total.get["n"] - len(first))
 
 
-def verify_all_activities(results: DataFrame, bridge: DataFrame,
-                          activity_ids: Sequence) -> DataFrame:
-    """Result rows whose area lacks one of the selected activities (should
-    be empty): recount per returned area, anti join on the full set."""
-    ids = list(dict.fromkeys(activity_ids))
-    full = (bridge.where(F.col("activity_id").isin(ids)).groupBy("recarea_id")
-            .agg(F.countDistinct("activity_id").alias("_n")).where(F.col("_n") == len(ids))
-            .select("recarea_id"))
-    return results.join(full, "recarea_id", "left_anti")
-
-
 def activity_check_counts(results: DataFrame, bridge: DataFrame, activity_ids: Sequence) -> DataFrame:
     """One row: result rows, different result rows, and how many pairs of a result's
     area and a selected activity the bridge has. The last is the number of rows times

@@ -179,30 +179,44 @@ def radius_join(probe: DataFrame, build: DataFrame, radius_km: float, *,
     return res
 
 
+def _forward_cells():
+    """The own cell and one of each two opposite neighbours: every pair of adjacent cells once."""
+    ahead = [(dx, dy, dz) for dx in (0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) >= (0, 0, 0)]
+    return F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(offset, ("dx", "dy", "dz"))]) for offset in ahead])
+
+
 def duplicate_pairs(df: DataFrame, *, key: str, name: str, lat: str, lon: str,
-                    threshold_km: float = 1.0, normalizer=None) -> DataFrame:
+                    threshold_km: float = 1.0, normalizer=None, materialize: bool = False) -> DataFrame:
     """Pairs (key_1 < key_2) with the same non-blank normalised name and
     distance <= threshold. Blocking on (name, grid cell) keeps work
-    proportional to true candidates even when one name is very common."""
+    proportional to true candidates even when one name is very common. One side
+    goes to 14 of the 27 cells around it, so that two rows meet once.
+    ``materialize`` checkpoints the narrow rows, so ``df`` is computed once for both sides."""
     from ..functions.text import normalize_match_name
     norm = (normalizer or normalize_match_name)(F.col(name))
+    width = grid_cell_width(threshold_km + _ROUNDING_MARGIN_KM)
     base = (df.select(F.col(key).alias("_k"), F.col(name).alias("_name"),
-                      F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
-                      norm.alias("normalized_name"))
+                      F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), norm.alias("normalized_name"))
             .where(F.col("normalized_name") != ""))
-    width = grid_cell_width(threshold_km + _ROUNDING_MARGIN_KM)
-    left = with_neighbour_cells(base, "_lat", "_lon", width).alias("a")
-    right = with_cell(base, "_lat", "_lon", width).alias("b")
-    j = left.join(right, (F.col("a.normalized_name") == F.col("b.normalized_name"))
-                  & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
-                  & (F.col("a._cz") == F.col("b._cz")) & (F.col("a._k") < F.col("b._k")))
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint()
+    cells = with_cell(base, "_lat", "_lon", width)
+    row = F.struct("_k", "_name", "_lat", "_lon")
+    right = cells.select(row.alias("b"), "normalized_name", *KEYS)
+    left = (cells.select(row.alias("a"), "normalized_name", *KEYS, F.explode(_forward_cells()).alias("_nb"))
+            .select("a", "normalized_name", *[(F.col(k) + F.col(f"_nb.{d}")).alias(k) for k, d in zip(KEYS, ("dx", "dy", "dz"))],
+                    ((F.col("_nb.dx") == 0) & (F.col("_nb.dy") == 0) & (F.col("_nb.dz") == 0)).alias("_own")))
+    # within one cell both orders meet; elsewhere one
+    met = (left.join(right, ["normalized_name", *KEYS])
+           .where((F.col("a._k") < F.col("b._k")) | (~F.col("_own") & (F.col("a._k") > F.col("b._k"))))
+           .select("normalized_name", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     d = haversine_atan2_km(F.col("a._lat"), F.col("a._lon"), F.col("b._lat"), F.col("b._lon"))
-    return (j.select(F.col("a._k").alias(f"{key}_1"), F.col("b._k").alias(f"{key}_2"),
-                     F.col("a._name").alias("name_1"), F.col("b._name").alias("name_2"),
-                     F.col("a.normalized_name").alias("normalized_name"),
-                     F.col("a._lat").alias("latitude_1"), F.col("a._lon").alias("longitude_1"),
-                     F.col("b._lat").alias("latitude_2"), F.col("b._lon").alias("longitude_2"),
-                     d.alias("_d"))
+    return (met.select(F.col("a._k").alias(f"{key}_1"), F.col("b._k").alias(f"{key}_2"),
+                       F.col("a._name").alias("name_1"), F.col("b._name").alias("name_2"), "normalized_name",
+                       F.col("a._lat").alias("latitude_1"), F.col("a._lon").alias("longitude_1"),
+                       F.col("b._lat").alias("latitude_2"), F.col("b._lon").alias("longitude_2"),
+                       d.alias("_d"))
             .where(F.col("_d") <= F.lit(float(threshold_km)))
             .withColumn("distance_km", F.round(F.col("_d"), 6)).drop("_d")
             .withColumn("candidate_rule", F.lit(f"EXACT_NORMALIZED_NAME_AND_DISTANCE_LE_{threshold_km:g}_KM")))

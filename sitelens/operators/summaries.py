@@ -58,3 +58,31 @@ def link_shares(campgrounds: DataFrame) -> DataFrame:
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+
+
+METRIC_COLUMNS = ("metric", "category", "value")
+
+
+def as_metrics(one_row: DataFrame) -> DataFrame:
+    """A one-row result as (metric, category, value) rows, category empty."""
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("category"),
+                               F.col(c).cast("double").alias("value")) for c in one_row.columns])
+    return one_row.select(F.explode(cells).alias("_m")).select("_m.*")
+
+
+def counted_metrics(df: DataFrame, metric: str, column: str) -> DataFrame:
+    """Rows by the values of ``column`` as metric rows."""
+    return df.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit(metric).alias("metric"), "category", "value")
+
+
+def rows_metric(df: DataFrame, metric: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit(metric).alias("metric"), F.lit("").alias("category"), "value")
+
+
+def union_metrics(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -72,3 +72,4 @@ def _load():
     _loaded = True
     from . import queries_search, queries_quality, queries_text, queries_entities  # noqa: F401
     from . import queries_profile, queries_sources, queries_stats, queries_typed  # noqa: F401
+    from . import queries_jobs, queries_layout  # noqa: F401

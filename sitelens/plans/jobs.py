@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as PR
 from ..functions import text as TX
+from ..functions.amenities import FEE_VALUES, RESTROOM_CATEGORIES, WATER_CATEGORIES
 from ..operators import entities as EN
 from ..operators import profile as PF
 from ..operators import quality as Q
 from ..operators import routing as R
 from ..operators import search as S
+from ..operators import summaries as SM
 from ..operators.spatial import radius_join
 from ..session import ensure_checkpoint_dir
 from ..sources import csv as CSV
-from ..sources.tables import StagedPublish, write_sorted_csv
+from ..sources.tables import StagedPublish, write_sorted_csv, write_summary
 
 # Fixed values that must equal the reference: the activity source contract
 # and its entity column groups.
@@ -51,6 +53,17 @@ class JobCheckError(RuntimeError):
     """A job's output failed its checks; nothing was published."""
 
 
+def accounting_issue(source: DataFrame, kept: DataFrame, dropped: DataFrame, what: str) -> DataFrame:
+    """A20 as an issue: rows of the source that were neither kept nor dropped, or both. ``kept`` may be
+    a one-row frame with the number ``n``."""
+    n = kept if kept.columns == ["n"] else kept.agg(F.count(F.lit(1)).alias("n"))
+    one = Q.combine_one_row(source.agg(F.count(F.lit(1)).alias("source_rows")), n.select(F.coalesce("n", F.lit(0)).alias("kept_rows")),
+                            dropped.agg(F.count(F.lit(1)).alias("dropped_rows")))
+    return one.where("source_rows <> kept_rows + dropped_rows").select(
+        F.lit(f"unaccounted_{what}").alias("issue"),
+        F.concat_ws(":", "source_rows", "kept_rows", "dropped_rows").alias("record_key"))
+
+
 # ------------------------------------------------------------- activities
 
 def _clean_activity_value(column: str):
@@ -83,10 +96,12 @@ def clean_activities(raw: DataFrame, materialize: bool = False) -> R.CleanResult
     conflicts = (EN.value_conflicts(cleaned, "RECAREAID", AREA_COLUMNS[1:], "recreation_area")
                  .unionByName(EN.value_conflicts(cleaned, "ACTIVITYID", ACTIVITY_COLUMNS[1:],
                                                  "activity")))
-    value_counts = EN.ordered_value_counts_text(
-        EN.conflict_value_counts(cleaned, "RECAREAID", AREA_COLUMNS[1:]).unionByName(
-            EN.conflict_value_counts(cleaned, "ACTIVITYID", ACTIVITY_COLUMNS[1:])))
-    conflicts = conflicts.join(value_counts, ["entity_id", "source_column"], "left")
+    values = (EN.conflict_value_counts(cleaned, "RECAREAID", AREA_COLUMNS[1:])
+              .withColumn("entity_type", F.lit("recreation_area")).unionByName(
+                  EN.conflict_value_counts(cleaned, "ACTIVITYID", ACTIVITY_COLUMNS[1:])
+                  .withColumn("entity_type", F.lit("activity"))))
+    # one text for groups of few values; the long form has every value of every group
+    conflicts = conflicts.join(EN.ordered_value_counts_text(values), ["entity_id", "source_column"], "left")
     routed = R.relationship_routing(cleaned, "RECAREAID", "ACTIVITYID", "RECAREAID",
                                     "ACTIVITYID")
     dropped = routed.where(F.col("drop_reason").isNotNull()).select(
@@ -95,13 +110,23 @@ def clean_activities(raw: DataFrame, materialize: bool = False) -> R.CleanResult
     bridge = pairs.select("RECAREAID", "ACTIVITYID")
     issues = Q.union_issues([
         Q.orphan_issues(bridge, "RECAREAID", areas, "RECAREAID", "missing_recreation_area"),
-        Q.orphan_issues(bridge, "ACTIVITYID", acts, "ACTIVITYID", "missing_activity")])
+        Q.orphan_issues(bridge, "ACTIVITYID", acts, "ACTIVITYID", "missing_activity"),
+        # a source row is in the bridge or dropped, never neither
+        accounting_issue(cleaned, pairs.agg(F.sum("source_rows").alias("n")), dropped, "activity_rows")])
     summary = EN.bridge_summary(pairs)
+    figures = SM.union_metrics(
+        SM.rows_metric(cleaned, "source_row_count"), SM.rows_metric(areas, "recreation_area_row_count"),
+        SM.rows_metric(acts, "activity_row_count"), SM.rows_metric(bridge, "recreation_area_activity_row_count"),
+        SM.rows_metric(dropped, "dropped_relationship_source_row_count"),
+        SM.as_metrics(summary.select(
+            F.coalesce("duplicate_relationships_removed", F.lit(0)).alias("duplicate_relationship_rows_removed"))),
+        SM.rows_metric(conflicts, "conflict_count"),
+        SM.counted_metrics(conflicts, "conflict_count_by_entity", "entity_type"))
     return R.CleanResult(
         tables={"recreation_areas": areas, "activities": acts,
                 "recreation_area_activities": bridge},
-        audits={"activity_conflicts": conflicts, "dropped_activity_rows": dropped,
-                "issues": issues, "summary": summary})
+        audits={"activity_conflicts": conflicts, "activity_conflict_values": values, "dropped_activity_rows": dropped,
+                "issues": issues, "summary": summary, "figures": figures})
 
 
 def run_activities(spark: SparkSession, source: str) -> R.CleanResult:
@@ -128,10 +153,41 @@ def campground_summary(raw: DataFrame, result: R.CleanResult) -> DataFrame:
     return Q.combine_one_row(src, stats, dropped, dups)
 
 
+# Fixed values that must equal the reference: columns whose missingness is reported.
+MISSINGNESS_COLUMNS = ("water_availability", "restroom_availability", "directions",
+                       "usda_portal_url", "fee_charged", "total_capacity")
+
+
+def campground_figures(raw: DataFrame, result: R.CleanResult) -> DataFrame:
+    """Figures of the campground job as (metric, category, value) rows."""
+    camps, dropped = result.tables["campgrounds"], result.audits["dropped"]
+    source = {c: f"{c}_raw" if f"{c}_raw" in camps.columns else c for c in MISSINGNESS_COLUMNS}
+    missing = SM.missingness(camps.select(*[F.col(v).alias(c) for c, v in source.items()]), MISSINGNESS_COLUMNS)
+
+    def by_category(metric, column, domain):
+        return SM.zero_filled_counts(camps, column, domain).select(
+            F.lit(metric).alias("metric"), "category", F.col("row_count").cast("double").alias("value"))
+
+    return SM.union_metrics(
+        SM.rows_metric(raw, "source_row_count"), SM.as_metrics(SM.link_shares(camps)),
+        by_category("retained_subtype_counts", "site_subtype", R.ALLOWED_SUBTYPES),
+        by_category("water_category_counts", "water_availability", WATER_CATEGORIES),
+        by_category("restroom_category_counts", "restroom_availability", RESTROOM_CATEGORIES),
+        missing.select(F.lit("missing_count").alias("metric"), F.col("source_column").alias("category"),
+                       F.col("missing_count").cast("double").alias("value")),
+        missing.select(F.lit("missing_percentage").alias("metric"), F.col("source_column").alias("category"),
+                       F.col("missing_percentage").alias("value")),
+        SM.rows_metric(dropped, "dropped_row_count"),
+        SM.zero_filled_counts(dropped, "drop_category", (R.UNSUPPORTED, R.INVALID_REQUIRED)).select(
+            F.lit("dropped_row_counts_by_category").alias("metric"), "category", F.col("row_count").cast("double").alias("value")),
+        SM.counted_metrics(dropped, "dropped_row_counts_by_reason", "drop_reason"),
+        SM.rows_metric(result.audits["unmatched"], "unmatched_campground_count"),
+        SM.rows_metric(result.audits["duplicates"], "duplicate_candidate_pair_count"))
+
+
 def check_campgrounds(result: R.CleanResult, area_ids: DataFrame) -> DataFrame:
-    """Output checks as issues: ids, duplicate ids, '.0' ids, domains, links."""
+    """Output checks as issues: ids, duplicate ids, '.0' ids, domains, coordinates, links."""
     camps = result.tables["campgrounds"]
-    from ..functions.amenities import RESTROOM_CATEGORIES, WATER_CATEGORIES, FEE_VALUES
     rules = [("blank_campground_id", F.col("campground_id") == ""),
              ("unsupported_subtype", ~F.col("site_subtype").isin(*R.ALLOWED_SUBTYPES)),
              ("invalid_water", ~F.col("water_availability").isin(*WATER_CATEGORIES)),
@@ -139,7 +195,9 @@ def check_campgrounds(result: R.CleanResult, area_ids: DataFrame) -> DataFrame:
              ("invalid_fee", ~F.col("fee_charged").isin(*FEE_VALUES))]
     for c in ("campground_id", "globalid", "site_cn", "site_id", "objectid", "root_cn",
               "parent_cn", "recid_extracted", "recarea_id"):
-        rules.append((f"float_suffix_{c}", F.col(c).rlike(r"^\d+\.0$")))
+        rules.append((f"float_suffix_{c}", PR.is_accidental_float_id(F.col(c))))
+    lat, lon = PR.parse_latitude(F.col("latitude")), PR.parse_longitude(F.col("longitude"))
+    rules.append(("invalid_coordinates", lat.isNull() | lon.isNull()))
     linked = camps.where(F.col("recarea_id") != "")
     return Q.union_issues([
         Q.row_rule_issues(camps, Q.record_key("campground_id"), rules),
@@ -152,8 +210,11 @@ def run_campgrounds(spark: SparkSession, source: str, areas: DataFrame) -> R.Cle
     area_ids = areas.select(F.col("RECAREAID").alias("recarea_id")) \
         if "RECAREAID" in areas.columns else areas.select("recarea_id")
     res = R.clean_sites(raw, area_ids, materialize=True)
-    res.audits["issues"] = check_campgrounds(res, area_ids)
+    res.audits["issues"] = Q.union_issues([
+        check_campgrounds(res, area_ids),
+        accounting_issue(raw, res.tables["campgrounds"], res.audits["dropped"], "site_rows")])
     res.audits["summary"] = campground_summary(raw, res)
+    res.audits["figures"] = campground_figures(raw, res)
     return res
 
 
@@ -172,12 +233,27 @@ def run_parks(spark: SparkSession, source: str, id_prefix: str | None = None) ->
                        F.col(PARK_SOURCE_COLUMNS[4]).alias("area"),
                        F.col(PARK_SOURCE_COLUMNS[5]).alias("visitors"),
                        F.col("Description").alias("description"))
-    res = R.clean_parks(named, **({"id_prefix": id_prefix} if id_prefix else {}))
-    parks = res.tables["parks"]
+    return checked_parks(named, **({"id_prefix": id_prefix} if id_prefix else {}))
+
+
+def checked_parks(named: DataFrame, **options) -> R.CleanResult:
+    """Parks from text rows, with the checks and the summary of the job."""
+    res = R.clean_parks(named, **options)
+    parks, failures = res.tables["parks"], res.audits["failures"]
+    nameless = failures.where(F.col("failure_reason") == "MISSING_PARK_NAME")
     res.audits["issues"] = Q.union_issues([
         Q.duplicate_issues(parks, ["park_id"], "duplicate_park_id"),
         Q.row_rule_issues(parks, Q.record_key("park_id"),
-                          [("blank_park_id", F.col("park_id") == "")])])
+                          [("blank_park_id", F.col("park_id") == "")]),
+        accounting_issue(named, parks, nameless, "park_rows")])
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    res.audits["figures"] = SM.union_metrics(
+        SM.rows_metric(named, "source_row_count"),
+        SM.as_metrics(parks.agg(F.count(F.lit(1)).alias("processed_park_row_count"),
+                                F.count_if(placed).alias("valid_coordinate_park_count"),
+                                F.count_if(~placed).alias("invalid_coordinate_park_count"))),
+        SM.rows_metric(failures, "parse_failure_count"),
+        SM.counted_metrics(failures, "parse_failure_counts_by_reason", "failure_reason"))
     return res
 
 
@@ -251,16 +327,39 @@ def distances(parks: DataFrame, campgrounds: DataFrame, radius_km: float) -> Dat
 
 # ------------------------------------------------------------- profile
 
-def profile_source(spark: SparkSession, source: str, dataset: str, extra_keys=()) -> dict:
+def profile_source(spark: SparkSession, source: str, dataset: str, extra_keys=(), *, frequencies=(),
+                   dependencies=(), conflicts=None, repeated_id: str | None = None, subset=None,
+                   flagged: str | None = None) -> dict:
     """Profile tables of a delimited source. Rows must have exactly the header's
-    fields, headers no name twice, and all bytes must be UTF-8."""
+    fields, headers no name twice, and all bytes must be UTF-8.
+
+    Beside the column profile, the empty columns, keys and duplicate rows, on request: the most
+    frequent values of the columns ``frequencies``; violations of (determinant, dependent)
+    pairs ``dependencies`` in both directions; ``conflicts`` = (key, attributes); the most
+    repeated values of ``repeated_id``; figures of the id pair ``subset``; names of the column ``flagged``
+    with marks."""
     raw = CSV.read_contract_csv(spark, source, strict=True)
     order = ("source_file", "source_row_number")
     data = raw.drop(*order)
     unnamed = [c for c, h in zip(data.columns, CSV.read_header(spark, source)) if not h.strip()]
-    return {"column_profile": PF.column_profile(raw, dataset, order, unnamed),
-            "key_analysis": PF.key_analysis(data, dataset, extra_keys),
-            "duplicate_rows": PF.duplicate_rows(data, dataset)}
+    profile = PF.column_profile(raw, dataset, order, unnamed)
+    out = {"column_profile": profile, "empty_columns": PF.empty_columns(profile),
+           "key_analysis": PF.key_analysis(data, dataset, extra_keys),
+           "duplicate_rows": PF.duplicate_rows(data, dataset)}
+    for c in frequencies:
+        out[f"frequencies_{c}"] = PF.top_values(data, c)
+    for a, b in dependencies:
+        out[f"violations_{a}_{b}"] = PF.fd_violations(data, a, b)
+        out[f"violations_{b}_{a}"] = PF.fd_violations(data, b, a)
+    if conflicts:
+        out["conflicts"] = PF.attribute_conflicts(data, *conflicts)
+    if repeated_id:
+        out["repeated_ids"] = PF.duplicated_ids(raw, repeated_id, order)
+    if subset:
+        out["subset_counts"] = PF.subset_counts(data, *subset)
+    if flagged:
+        out["name_flags"], out["flagged_names"] = PF.name_flags(data, flagged), PF.flagged_names(data, flagged)
+    return out
 
 
 # ------------------------------------------------------------- publishing
@@ -281,7 +380,10 @@ def publish(spark: SparkSession, result: R.CleanResult, root: str,
             for name, df in group.items():
                 if name == "issues":
                     continue
-                df.write.parquet(stage.path(name))
+                if name in ("summary", "figures"):
+                    write_summary(df, stage.path(name))
+                else:
+                    df.write.parquet(stage.path(name))
         stage.publish()
     except Exception:
         stage.discard()

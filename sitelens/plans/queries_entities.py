@@ -111,8 +111,10 @@ def q_dropped_relationships(spark, sf_dir):
 
 # ------------------------------------------------------------ campground cleaning
 
+@P.memoized
 def _clean(spark, sf_dir):
-    return R.clean_sites(P.raw_site_records(spark, sf_dir), P.area_ids(spark, sf_dir))
+    """Conformed once; the queries below read the written rows."""
+    return R.clean_sites(P.raw_site_records(spark, sf_dir), P.area_ids(spark, sf_dir), materialize=True)
 
 
 def _sites_sql(select_sql: str) -> str:
@@ -128,7 +130,7 @@ SELECT source_row_number,
   site_name, site_subtype, latitude, longitude
 FROM routed_reasons WHERE drop_reason IS NOT NULL"""))
 def q_quarantine(spark, sf_dir):
-    return _clean(spark, sf_dir).audits["dropped"]
+    return R.dropped_sites(R.route_sites(P.raw_site_records(spark, sf_dir)))
 
 
 @register("unmatched_links", _sites_sql("""

@@ -80,7 +80,7 @@ def q_validation_issues(spark, sf_dir):
     matrix = q_distance_matrix(spark, sf_dir)
     return Q.union_issues([
         Q.location_issues(d["parks"], d["campgrounds"], d["areas"], d["bridge"],
-                          distances=matrix, full_matrix=False),
+                          distances=matrix),
         Q.orphan_issues(d["campgrounds"], "recarea_id", d["areas"], "recarea_id",
                         "campground_recarea_orphan"),
         Q.duplicate_issues(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"],

@@ -121,7 +121,9 @@ _CAMP_COLS = ("campground_id, name, campground_type, recarea_id, fee_charged, fe
 @register("campground_details", with_domain(f"""
 SELECT {', '.join('c.' + x.strip() for x in _CAMP_COLS.split(','))},
        ra.name AS linked_recreation_area_name, ra.official_url AS linked_recreation_area_url,
-       ra.forest_name AS linked_forest_name, ra.open_status AS linked_recreation_area_status
+       ra.forest_name AS linked_forest_name, ra.open_status AS linked_recreation_area_status,
+       ra.open_season_start AS linked_open_season_start, ra.open_season_end AS linked_open_season_end,
+       ra.description AS linked_recreation_area_description, ra.accessibility AS linked_recreation_area_accessibility
 FROM campgrounds c LEFT JOIN areas ra ON ra.recarea_id = c.recarea_id
 WHERE c.campground_id = {DETAIL_ID}"""))
 def q_details(spark, sf_dir):

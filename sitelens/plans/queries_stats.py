@@ -9,17 +9,14 @@ from ..functions.amenities import RESTROOM_CATEGORIES, WATER_CATEGORIES
 from ..operators import routing as R
 from ..operators import summaries as SM
 from ..sources import projection as P
-from .catalog import register
+from .catalog import oracle_of, register
+from .queries_entities import _clean
 
 
 def _sql(select_sql: str) -> str:
     return "WITH " + P.ORACLE_CTES.strip() + ",\n" + P.RAW_SITES_SQL.strip() + "\n" + select_sql
 
 
-def _clean(spark, sf_dir):
-    return R.clean_sites(P.raw_site_records(spark, sf_dir), P.area_ids(spark, sf_dir))
-
-
 def _domain_sql(label, column, values):
     dom = " UNION ALL ".join(f"SELECT '{v}' AS category" for v in values)
     return (f"SELECT '{label}' AS category_type, d.category, CAST(COUNT(c.{column}) AS BIGINT) "

@@ -181,7 +181,12 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Area "), u.cast("string")).alias("name"),
         F.concat(F.lit("https://example.org/area/"), u.cast("string")).alias("official_url"),
         F.concat(F.lit("Forest "), F.pmod(u, F.lit(7)).cast("string")).alias("forest_name"),
-        F.when(F.pmod(u, F.lit(3)) == 0, "Closed").otherwise("Open").alias("open_status"))
+        F.when(F.pmod(u, F.lit(3)) == 0, "Closed").otherwise("Open").alias("open_status"),
+        F.when(F.pmod(u, F.lit(4)) != 0, F.concat(F.lit("May "), (F.pmod(u, F.lit(28)) + 1).cast("string")))
+        .alias("open_season_start"),
+        F.when(F.pmod(u, F.lit(4)) != 0, F.lit("September 30")).alias("open_season_end"),
+        F.concat(F.lit("Description of area "), u.cast("string")).alias("description"),
+        F.when(F.pmod(u, F.lit(2)) == 0, F.lit("Paved paths")).alias("accessibility"))
 
 
 @memoized
@@ -280,7 +285,11 @@ areas AS (
   SELECT user_id AS recarea_id, 'Area ' || CAST(user_id AS VARCHAR) AS name,
          'https://example.org/area/' || CAST(user_id AS VARCHAR) AS official_url,
          'Forest ' || CAST(user_id % 7 AS VARCHAR) AS forest_name,
-         CASE WHEN user_id % 3 = 0 THEN 'Closed' ELSE 'Open' END AS open_status
+         CASE WHEN user_id % 3 = 0 THEN 'Closed' ELSE 'Open' END AS open_status,
+         CASE WHEN user_id % 4 <> 0 THEN 'May ' || (user_id % 28 + 1) END AS open_season_start,
+         CASE WHEN user_id % 4 <> 0 THEN 'September 30' END AS open_season_end,
+         'Description of area ' || user_id AS description,
+         CASE WHEN user_id % 2 = 0 THEN 'Paved paths' END AS accessibility
   FROM (SELECT DISTINCT user_id FROM events)),
 activities AS (
   SELECT event_type AS activity_id,

@@ -258,3 +258,30 @@ def test_profile_job(spark, tmp_path):
                                             ("", True), ("cnt", False), ("acn", False), ("identity", False), ("paid", True)])
 def test_identifier_names(name, expected):
     assert PF.is_identifier_name(name) == expected
+
+
+def test_pipeline_publishes_every_phase(spark, tmp_path):
+    header = list(J.PARK_SOURCE_COLUMNS)
+    parks = write_csv(tmp_path / "parks.csv", header, [
+        ["Alpha", "", "Maine 44°21′N 68°13′W / 44.35°N 68.21°W", "February 26, 1919", "49,071.40 acres", "4,069,098", "d"],
+        ["", "", "x", "y", "z", "1", "d"]])
+    acts = write_csv(tmp_path / "acts.csv", J.ACTIVITY_SOURCE_COLUMNS, [
+        activity_row(RECAREAID="1", RECAREANAME="Area", ACTIVITYID="9", ACTIVITYNAME="Biking")])
+    sites = write_csv(tmp_path / "sites.csv", J.SITE_REQUIRED_COLUMNS, [site_row(latitude="44.4", longitude="-68.3")])
+    root = str(tmp_path / "out")
+    got = J.run_pipeline(spark, {"parks": parks, "activities": acts, "sites": sites}, root, 50.0)
+    assert list(got) == ["parks", "activities", "campgrounds", "distances"]
+    assert got["distances"]["distances"].count() == 1
+    summary = {(r.metric, r.category): r.value for r in spark.read.json(f"{root}/parks/figures").collect()}
+    assert summary["source_row_count", ""] == 2 and summary["processed_park_row_count", ""] == 1
+    assert summary["parse_failure_counts_by_reason", "MISSING_PARK_NAME"] == 1
+    figures = {(r.metric, r.category): r.value for r in spark.read.json(f"{root}/campgrounds/figures").collect()}
+    assert figures["final_campground_row_count", ""] == 1 and figures["retained_subtype_counts", "HORSE CAMP"] == 0
+    with pytest.raises(J.PhaseError, match="phase parks"):
+        J.run_pipeline(spark, {"parks": parks, "activities": acts, "sites": sites}, root, 50.0)
+
+
+def test_accounting_issue(spark):
+    n = lambda k: spark.range(k)
+    assert J.accounting_issue(n(5), n(3), n(2), "rows").collect() == []
+    assert [tuple(r) for r in J.accounting_issue(n(5), n(3), n(1), "rows").collect()] == [("unaccounted_rows", "5:3:1")]
