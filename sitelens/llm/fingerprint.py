@@ -176,38 +176,63 @@ def neighbour_fingerprints(documents: DataFrame, buckets: int = 0) -> DataFrame:
     others; repeated ids follow each other in the order of their texts. An empty
     table gives an empty result; other columns are not looked at.
 
-    The order is cut at quantiles of doc_id into ranges; each range is sorted
+    The order is cut at quantiles of doc_id into ranges, and inside an id that has
+    more rows than two ranges at quantiles of its texts' beginnings, found on a
+    bounded sample (they decide how even the ranges are, not the result). Each range is sorted
     by itself and only the first document of a range is sent twice, to the
     range before it. Texts are shuffled once. ``buckets`` (default: four per
-    shuffle partition) bounds what the driver gets: one number per range.
+    shuffle partition) bounds what the driver gets: one place per range, and PER_RANGE sampled beginnings.
     """
     spark = documents.sparkSession
+    lowest = F.lit(-(1 << 63))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = [k / buckets for k in range(1, buckets)]
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile(
-        "d", places, 0.25 / buckets) if places else []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    # number of cuts up to the id; a null id is before all
-    placed = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(
-        F.aggregate(bounds, F.lit(0), lambda n, c: n + (c <= F.col("doc_id")).cast("int"))))
-    # the ranges that have rows, and the first row's id of each: one row per range, so bounded by ``buckets``
-    firsts = [(r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(
-        F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")).collect()]
-    firsts.sort()
+    key, begin = F.coalesce("doc_id", lowest), F.substring(F.coalesce("text", F.lit("")), 1, BEGINNING)
+    bounds = _bounds(docs.select(key.alias("key"), begin.alias("begin")), buckets)
+    # number of cuts up to the row
+    cuts = (F.array(*[F.struct(F.lit(i).cast("long").alias("key"), F.lit(t).alias("begin")) for i, t in bounds]) if bounds
+            else F.array().cast("array<struct<key:bigint,begin:string>>"))
+    placed = docs.withColumn("bucket", F.aggregate(
+        cuts, F.lit(0), lambda n, c: n + (c <= F.struct(key.alias("key"), begin.alias("begin"))).cast("int")))
+    # the ranges that have rows, and where the first row of each begins: one row per range
+    firsts = sorted((r["bucket"], r["first"]["key"], r["first"]["begin"]) for r in placed.groupBy("bucket").agg(
+        F.min(F.struct(key.alias("key"), begin.alias("begin"))).alias("first")).collect())
     if not firsts:
         return spark.createDataFrame([], _SCHEMA)
-    before = {b: firsts[k - 1][0] for k, (b, _) in enumerate(firsts)}
-    lead = spark.createDataFrame([(b, f, before[b]) for b, f in firsts], "b int, first long, prior int")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    first_rows = (placed.join(F.broadcast(lead), (F.col("bucket") == F.col("b")) & (key == F.col("first")))
-                  # of rows that repeat the id, the first in order
+    lead = spark.createDataFrame([(b, i, t, firsts[k - 1][0]) for k, (b, i, t) in enumerate(firsts)],
+                                 "b int, first long, first_begin string, prior int")
+    first_rows = (placed.join(F.broadcast(lead), (F.col("bucket") == F.col("b")) & (key == F.col("first"))
+                              & (begin == F.col("first_begin")))
+                  # of rows that begin alike, the first in order
                   .groupBy("prior").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("t"), F.first("doc_id").alias("doc_id"))
                   .select(F.col("prior").alias("bucket"), F.lit(1).alias("extra"), "doc_id", F.col("t.text").alias("text")))
-    rows = placed.select("bucket", F.lit(0).alias("extra"), "doc_id", "text").unionByName(first_rows)
+    rows = placed.select("bucket", F.lit(0).alias("extra"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(first_rows)
     return (rows.repartition("bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text")
             .mapInArrow(_pairs, _SCHEMA))
 
 
+BEGINNING = 48   # characters of a text that tell where it stands among the texts of its id
+PER_RANGE = 20   # sampled rows of ids that have many, for each range
+
+
+def _bounds(places: DataFrame, buckets: int) -> list[tuple[int, str]]:
+    """At most about two times ``buckets`` places (key, begin) that cut the order into ranges of like size."""
+    quantiles = [k / buckets for k in range(1, buckets)]
+    cuts = places.select(F.col("key").cast("double").alias("d")).approxQuantile("d", quantiles, 0.25 / buckets) if quantiles else []
+    out = {(int(c), "") for c in cuts}
+    # an id that fills two ranges is several quantiles in a row, give or take their error
+    often = sorted({int(c) for c in cuts if cuts.count(c) > 1})
+    if often:
+        hot = places.filter(F.col("key").isin(often))
+        sizes = {r["key"]: r["count"] for r in hot.groupBy("key").count().collect()}
+        sample = hot.orderBy(F.xxhash64("begin", F.monotonically_increasing_id())).limit(PER_RANGE * buckets).collect()
+        a_range = max(1, places.count() // buckets)
+        for key, n in sizes.items():
+            begins = sorted(r["begin"] for r in sample if r["key"] == key)
+            parts = min(len(begins), n // a_range)
+            out |= {(key, begins[k * len(begins) // parts]) for k in range(1, parts)}
+    return sorted(out)
+
+
 _SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
            "near_edited double, near_next double")
