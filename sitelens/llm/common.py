@@ -65,6 +65,41 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+LONG_KEY = 1024  # characters of a text that a cache does not keep
+
+
+class ByteCache(dict):
+    """What ``make`` gives for a text, kept while the estimated size of all is within ``most_bytes``.
+
+    Long texts are made anew each time. ``trim`` empties a cache that has grown beyond its bound; it is
+    called between documents, so entries that a document relies on stay while it is worked on.
+    """
+
+    def __init__(self, most_bytes: int):
+        super().__init__()
+        self.most_bytes, self.bytes = most_bytes, 0
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def size(self, value) -> int:
+        return 32
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= LONG_KEY:
+            self[key] = value
+            self.bytes += 200 + 2 * len(key) + self.size(value)
+        return value
+
+    def trim(self) -> bool:
+        if self.bytes <= self.most_bytes:
+            return False
+        self.clear()
+        self.bytes = 0
+        return True
+
+
 class Forest:
     """Union-find over 0..n-1."""
 

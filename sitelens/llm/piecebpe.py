@@ -23,29 +23,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import ByteCache
 from .pairs import PairTest
 
 SPACE = "▁"
-_CACHE = 800_000   # units, or pairs, that a worker keeps
+_CACHE = 400_000         # pairs of pieces that a worker keeps
+_CACHE_BYTES = 128 << 20  # of the units that it keeps
 _units = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
 
-class _UnitIds(dict):
-    """Unit -> its ids as text joined by commas, emptied when it has grown to _CACHE units."""
+class _UnitIds(ByteCache):
+    """Unit -> its ids as text joined by commas."""
 
     def __init__(self, owner: "PieceTable"):
-        super().__init__()
+        super().__init__(_CACHE_BYTES)
         self.owner = owner
         self.odd: set[str] = set()  # units whose ids do not decode to the unit's own text
 
-    def __missing__(self, unit: str) -> str:
-        if len(self) >= _CACHE:
-            self.clear()
+    def make(self, unit: str) -> str:
         ids = self.owner.unit_ids(unit)
         if self.owner.pieces_text(ids) != unit.replace(SPACE, " ").encode("utf-8", "replace"):
             self.odd.add(unit)
-        made = self[unit] = ",".join(map(str, ids))
-        return made
+            self.bytes += 2 * len(unit)
+        return ",".join(map(str, ids))
+
+    def size(self, ids: str) -> int:
+        return len(ids)
+
+    def trim(self) -> bool:
+        emptied = super().trim()
+        if emptied:
+            self.odd.clear()
+        return emptied
 
 
 class PieceTable:
@@ -136,7 +145,12 @@ class PieceTable:
         return _units(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encoded_text(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids joined by commas, and the text decoded from them in UTF-8."""
+        """Number of ids, the ids joined by commas, and the text decoded from them in UTF-8.
+
+        Where the ids of every unit were found to decode to the unit itself, the decoded text is the
+        text as it came; otherwise the ids are decoded.
+        """
+        self.units.trim()
         units = self.units_of(text)
         if not units:
             return 0, "", b""

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import ByteCache
 from .pairs import PairTest
 
 LIMIT = 512
-_CACHE = 1_000_000  # pre-tokens, or pairs, that a worker keeps
-_TABLES = 50_000    # pre-tokens whose whole tables a worker keeps
+_CACHE = 400_000          # pairs of tokens that a worker keeps
+_CACHE_BYTES = 128 << 20  # of the pre-tokens' totals that it keeps
+_TABLE_BYTES = 32 << 20   # of the pre-tokens' whole tables
 # The pattern by which this public vocabulary was trained (fixed value).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -77,18 +79,29 @@ def _byte_letters() -> list[str]:
     return out
 
 
-class _Totals(dict):
-    """Pre-token -> its number of tokens, emptied when it has grown to _CACHE entries."""
+class _Totals(ByteCache):
+    """Pre-token -> its number of tokens."""
 
     def __init__(self, owner: "PrefixCounter"):
-        super().__init__()
+        super().__init__(_CACHE_BYTES)
         self.owner = owner
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        n = self[word] = self.owner.byte_table(word.encode("utf-8", "replace").decode("latin-1"))[0][-1]
-        return n
+    def make(self, word: str) -> int:
+        return self.owner.byte_table(word.encode("utf-8", "replace").decode("latin-1"))[0][-1]
+
+
+class _PrefixTables(ByteCache):
+    """Pre-token -> its counts at every code point prefix."""
+
+    def __init__(self, owner: "PrefixCounter"):
+        super().__init__(_TABLE_BYTES)
+        self.owner = owner
+
+    def make(self, word: str) -> np.ndarray:
+        return self.owner.word_counts(word)
+
+    def size(self, table: np.ndarray) -> int:
+        return table.nbytes + 112
 
 
 class PrefixCounter:
@@ -112,7 +125,7 @@ class PrefixCounter:
         self.split_special = (regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")").split
                               if special else None)
         self.words = word_splitter()
-        self.tables: dict[str, np.ndarray] = {}
+        self.tables = _PrefixTables(self)
         self.totals = _Totals(self)
         self.automaton = ahocorasick.Automaton()
         for token in model["vocab"]:
@@ -137,22 +150,22 @@ class PrefixCounter:
             counts[done], last[done] = counts[done - size] + 1, token
         return counts, last
 
-    def table(self, word: str) -> np.ndarray:
+    def word_counts(self, word: str) -> np.ndarray:
         """Counts at every code point prefix of a pre-token (index 0: empty)."""
-        t = self.tables.get(word)
-        if t is None:
-            if len(self.tables) >= _TABLES:
-                self.tables.clear()
-            counts, _ = self.byte_table(word.encode("utf-8", "replace").decode("latin-1"))
-            ends = [0]
-            for c in word:
-                ends.append(ends[-1] + len(c.encode("utf-8", "replace")))
-            t = self.tables[word] = np.array([counts[e] for e in ends], dtype=np.int32)
-            if len(word) > 1 and word[0] == "'" and word in ("'re", "'ve", "'ll"):
-                # cut after the first letter, the apostrophe and the letter are two pre-tokens
-                t[2] = 2
+        counts, _ = self.byte_table(word.encode("utf-8", "replace").decode("latin-1"))
+        ends = [0]
+        for c in word:
+            ends.append(ends[-1] + len(c.encode("utf-8", "replace")))
+        t = np.array([counts[e] for e in ends], dtype=np.int32)
+        if len(word) > 1 and word[0] == "'" and word in ("'re", "'ve", "'ll"):
+            # cut after the first letter, the apostrophe and the letter are two pre-tokens
+            t[2] = 2
         return t
 
+    def table(self, word: str) -> np.ndarray:
+        """``word_counts``, remembered."""
+        return self.tables[word]
+
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         if self.split_special is None:
             yield text, False
@@ -163,6 +176,7 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Exact number of tokens: the last entry of the text's prefix table."""
+        self.totals.trim()
         total = 0
         for part, is_special in self._pieces(text):
             total += 1 if is_special else sum(map(self.totals.__getitem__, self.words(part)))
@@ -176,6 +190,7 @@ class PrefixCounter:
         of their own; one that ends inside a special string is ordinary text
         from the end of the last special string on.
         """
+        self.tables.trim()
         out = np.zeros(len(text) + 1, dtype=np.int64)
         at, before = 0, ""
         for part, is_special in self._pieces(text):
@@ -210,6 +225,7 @@ class PrefixCounter:
         prefixes between two such ends are looked at: the last one within the
         budget and the first one beyond it.
         """
+        self.totals.trim()
         total = pos = 0
         start = base = 0          # the last end within the budget, and its count
         back = back_base = 0      # the end before it
