@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, materialized, mix64, sorted_groups, tile_sides, tiled
+from .common import ByteCache, Forest, materialized, mix64, sorted_groups, tile_sides, tiled
 from .components import connected_components
 
 WORDS = 5            # words in a k-mer
@@ -34,24 +34,22 @@ SHORT = 20           # pairs whose shorter text has at most so many k-mers meet
 BINS = 128           # bytes of the one-permutation signature that estimates similarity
 TILE_ROWS = 512      # rows of one block of a large group
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_CACHE_WORDS = 400_000
+_CACHE_BYTES = 96 << 20  # of the words' hashes that a worker keeps
 
 
-class _WordHash(dict):
-    """Word -> 64-bit hash, emptied when it has grown to _CACHE_WORDS words."""
+class _WordHash(ByteCache):
+    """Word -> 64-bit hash."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+    def make(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_words = _WordHash()
+_words = _WordHash(_CACHE_BYTES)
 
 
 def kmers(text: str) -> np.ndarray:
     """Hashes of the k-mers in text order; fewer than five words are one k-mer."""
+    _words.trim()
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -235,45 +233,119 @@ def _maybe_pairs(sig, n, left, right) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield part[x][apart], right[y][apart], est[x, y][apart]
 
 
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a tile's two sides: two blocks of one set, or of two sets (column ``side``)."""
+    if "side" not in t.column_names:
+        return tile_sides(t)
+    side = t.column("side").to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _forest_of(t: pa.Table, sig: np.ndarray, n: np.ndarray, similar) -> Iterator[pa.RecordBatch]:
+    """Stars that join what the tile's pairs join which may be similar and pass ``similar``, the likeliest first.
+
+    In a tile of two sets, rows of the second are joined already (to their hub).
+    """
+    left, right = _sides(t)
+    ids = t.column("doc_id").to_numpy()
+    forest = Forest(len(ids))
+    if "side" in t.column_names:
+        for x in right[1:]:
+            forest.join(int(right[0]), int(x))
+    parts = list(_maybe_pairs(sig, n, left, right))
+    if not parts:
+        return
+    xs, ys, est = (np.concatenate(v) for v in zip(*parts))
+    order = np.argsort(-est, kind="stable")
+    for x, y in zip(xs[order].tolist(), ys[order].tolist()):
+        if forest.root(x) != forest.root(y) and similar(x, y):
+            forest.join(x, y)
+    a, b = forest.stars()
+    if a:
+        yield _edges(ids[a], ids[b])
+
+
+def _signatures(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+    return sig, t.column("n").to_numpy()
+
+
+def _grams(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    grams = [kmers(x.as_py() or "") for x in t.column("text")]
+    return grams, np.stack([signature(labelled(g)) for g in grams]), np.array([len(g) for g in grams])
+
+
 def _candidate_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each tile of a sketch's group, stars that join what pairs that may be similar join."""
-    for t in sorted_groups(batches, ["key", "tile"]):
-        if t.num_rows < 2:
-            continue
-        ids = t.column("doc_id").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        n = t.column("n").to_numpy()
-        forest = Forest(len(ids))
-        for xs, ys, _ in _maybe_pairs(sig, n, *tile_sides(t)):
-            for x, y in zip(xs.tolist(), ys.tolist()):
-                forest.join(x, y)
-        a, b = forest.stars()
-        if a:
-            yield _edges(ids[a], ids[b])
+    for t in sorted_groups(batches, ["group", "tile"]):
+        if t.num_rows > 1:
+            yield from _forest_of(t, *_signatures(t), lambda x, y: True)
 
 
 def _verified_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each tile of a candidate component, stars that join what pairs of SIMILARITY or more join."""
-    for t in sorted_groups(batches, ["component", "tile"]):
-        if t.num_rows < 2:
-            continue
-        ids = t.column("doc_id").to_numpy()
-        texts = t.column("text")
-        grams = [kmers(texts[i].as_py() or "") for i in range(len(ids))]
-        sig = np.stack([signature(labelled(g)) for g in grams])
-        n = np.array([len(g) for g in grams])
-        forest = Forest(len(ids))
-        parts = list(_maybe_pairs(sig, n, *tile_sides(t)))
-        if not parts:
-            continue
-        xs, ys, est = (np.concatenate(v) for v in zip(*parts))
-        order = np.argsort(-est, kind="stable")
-        for x, y in zip(xs[order].tolist(), ys[order].tolist()):
-            if forest.root(x) != forest.root(y) and aligned_similarity(grams[x], grams[y]) >= SIMILARITY:
-                forest.join(x, y)
-        a, b = forest.stars()
-        if a:
-            yield _edges(ids[a], ids[b])
+    for t in sorted_groups(batches, ["group", "tile"]):
+        if t.num_rows > 1:
+            grams, sig, n = _grams(t)
+            yield from _forest_of(t, sig, n, lambda x, y: aligned_similarity(grams[x], grams[y]) >= SIMILARITY)
+
+
+def _met_hub(exact: bool):
+    """Arrow function over chunks that begin with their group's hub: group, doc_id, joined (similar to the hub)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ["group", "tile"]):
+            if t.num_rows < 2:
+                continue
+            grams, sig, n = _grams(t) if exact else ([], *_signatures(t))
+            ok = maybe_similar(sig[:1], sig, n[:1], n)[0][0]
+            if exact:
+                ok = np.array([k > 0 and bool(ok[k]) and aligned_similarity(grams[0], g) >= SIMILARITY
+                               for k, g in enumerate(grams)])
+            yield pa.RecordBatch.from_arrays([t.column("group").combine_chunks()[1:], t.column("hub").combine_chunks()[1:],
+                                              t.column("doc_id").combine_chunks()[1:], pa.array(ok[1:], pa.bool_())],
+                                             names=["group", "hub", "doc_id", "joined"])
+    return run
+
+
+def _links(rows: DataFrame, forest, exact: bool, large: bool) -> DataFrame:
+    """Edges that join what pairs of a group join. ``rows``: group, size, hub (its smallest doc_id), doc_id
+    and what ``forest`` compares.
+
+    A group within TILE_ROWS is one tile. Of a larger one (``large``: there are such) every row
+    first meets the hub; what joins it needs no further pair among itself. Only the rest is
+    compared in tiles, with itself and with those that joined, so a group of near copies
+    costs one comparison a row and its rows are sent about twice, whatever its size.
+    """
+    edges = "a long, b long"
+    if not large:
+        return tiled(rows.drop("hub"), "group", "size", TILE_ROWS, "doc_id").mapInArrow(forest, edges)
+    # read several times below
+    many = rows.filter(F.col("size") > TILE_ROWS)
+    if not exact:
+        many = materialized(many, "order-minhash-large")
+    chunks = f"cast(ceil(size / {TILE_ROWS}) as bigint)"
+    place = f"case when doc_id = hub then sequence(0L, {chunks} - 1) else array(pmod(xxhash64(doc_id), {chunks})) end"
+    met = (many.withColumn("tile", F.explode(F.expr(place))).withColumn("other", F.col("doc_id") != F.col("hub"))
+           .repartition("group", "tile").sortWithinPartitions("group", "tile", "other", "doc_id"))
+    near = materialized(met.mapInArrow(_met_hub(exact), "group long, hub long, doc_id long, joined boolean"), "order-minhash-hubs")
+    rest = near.filter("not joined").select("group", "doc_id")
+    left_over = rest.groupBy("group").agg(F.count("*").alias("n_rest"))
+    others = many.join(rest, ["group", "doc_id"]).join(left_over, "group")
+    square = (rows.filter(F.col("size") <= TILE_ROWS).drop("hub")
+              .unionByName(others.drop("hub", "size").withColumnRenamed("n_rest", "size")))
+    # the rest against the rows that joined the hub, and the hub
+    joined = many.join(left_over, "group").join(rest, ["group", "doc_id"], "left_anti")
+    up, across = f"cast(ceil(n_rest / {TILE_ROWS}) as bigint)", f"cast(ceil((size - n_rest) / {TILE_ROWS}) as bigint)"
+    row, column = f"pmod(xxhash64(doc_id), {up})", f"pmod(xxhash64(doc_id), {across})"
+    sides = [others.withColumn("tile", F.explode(F.expr(f"transform(sequence(0L, {across} - 1), j -> {row} * {across} + j)")))
+             .withColumn("side", F.lit(0)),
+             joined.withColumn("tile", F.explode(F.expr(f"transform(sequence(0L, {up} - 1), i -> i * {across} + {column})")))
+             .withColumn("side", F.lit(1))]
+    cross = (sides[0].unionByName(sides[1]).drop("hub").repartition("group", "tile")
+             .sortWithinPartitions("group", "tile", "side", "doc_id"))
+    return (near.filter("joined").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+            .unionByName(tiled(square, "group", "size", TILE_ROWS, "doc_id").mapInArrow(forest, edges))
+            .unionByName(cross.mapInArrow(forest, edges)))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,10 +359,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     not their words are taken as one document. An empty table gives an empty
     result; other columns are not looked at.
 
-    Only one row per class goes on. A sketch's group of any size is dealt to
-    tiles of pairs of blocks, where byte signatures rule out pairs far below
-    the threshold; each tile returns at most a star per joined set, never all pairs.
-    Whole texts are then sent once per tile of the candidate components, and
+    Only one row per class goes on. Rows of a sketch's group are compared by byte
+    signatures, which rule out pairs far below the threshold, and the rows of
+    a component of candidates by alignment. Either way a large group meets
+    its hub first and only what did not join it is compared further, in tiles;
+    a tile returns at most a star per joined set, never all pairs, and
     alignments that cannot change the components are skipped.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -302,14 +375,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "order-minhash-classes")
     one = reps.filter("doc_id is not null")
     postings = one.select("doc_id", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = postings.join(shared, "key").join(one.select("doc_id", "n", "sig"), "doc_id")
-    links = tiled(met, "key", "size", TILE_ROWS, "doc_id").mapInArrow(_candidate_forest, "a long, b long")
-    groups = connected_components(links)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = groups.withColumnRenamed("id", "doc_id").join(sizes, "component")
-    found = tiled(source.join(chosen, "doc_id"), "component", "size", TILE_ROWS, "doc_id").mapInArrow(
-        _verified_forest, "a long, b long")
+    shared = materialized(postings.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub"))
+                          .filter("size > 1"), "order-minhash-groups")
+    met = (postings.join(shared, "key").join(one.select("doc_id", "n", "sig"), "doc_id")
+           .withColumnRenamed("key", "group"))
+    is_large = F.col("size") > TILE_ROWS
+    links = _links(met, _candidate_forest, False, not shared.filter(is_large).isEmpty())
+    groups = connected_components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    sizes = materialized(groups.groupBy("group").agg(F.count("*").alias("size")), "order-minhash-components")
+    chosen = groups.join(sizes, "group").withColumn("hub", F.col("group"))
+    texts, large = source.join(chosen, "doc_id"), not sizes.filter(is_large).isEmpty()
+    # with a large group, texts of candidates are written once instead of being shuffled for every use
+    found = _links(materialized(texts, "order-minhash-texts") if large else texts, _verified_forest, True, large)
     classes = connected_components(found).withColumnRenamed("id", "doc_id")
     by_class = reps.select("cls", "n_same", "doc_id").join(classes, "doc_id", "left").select(
         "cls", "n_same", F.coalesce("component", "doc_id").alias("class_id"))
@@ -321,8 +398,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that their class keeps: one per class, all columns as they are.
 
-    Rows without an id cannot stand for a class and stay; of repeated rows with one id one stays.
+    Rows without an id cannot stand for a class and stay. Of several rows with one id, also with
+    different texts, the one with the smallest text stays (then the smallest by its other columns).
+    A null text counts as empty and stands before other texts; an empty table stays empty.
     """
     kept = near_duplicate_classes(docs).filter("kept").select("doc_id").distinct()
     rest = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(rest)
+    order = F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*docs.columns)))
+    return (docs.join(kept, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("kept_id"))
+            .agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*").unionByName(rest))
