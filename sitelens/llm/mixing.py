@@ -1,6 +1,6 @@
 """Mixing to target weights: soft domain memberships, and document rates by projected gradient.
 
-A classifier trained on the labelled table gives every document posterior
+A classifier trained on the labelled table (hashed words and the shape of the text) gives every document posterior
 probabilities of the domains. With n the tokens and p the posteriors of a
 document, rates r >= L (0, or 1 where no document may go) are sought that minimise
 
@@ -21,6 +21,7 @@ short list of these, and written down every KEEP steps.
 
 from __future__ import annotations
 
+import itertools
 import logging
 from collections.abc import Iterator
 from typing import NamedTuple, Optional
@@ -33,7 +34,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import fresh, materialized, sampled_texts
 
-RIDGE = 0.01
+RIDGE = 0.001
 ETA = 0.95
 STEPS = 100          # most steps; ends earlier when totals are met or stay
 KEEP = 10
@@ -42,7 +43,7 @@ STILL = 5e-4         # change of a domain's total in a step, relative to its tar
 # Bound of the labelled sample that trains the classifier; rows are taken by a hash of the id.
 SAMPLE = 12_000
 SAMPLE_CHARS = 100_000
-SAMPLE_TOTAL = 64_000_000  # characters of all its texts
+SAMPLE_TOTAL = 16_000_000  # characters of all its texts
 
 
 _log = logging.getLogger(__name__)
@@ -54,6 +55,7 @@ class Classifier(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
     domains: tuple
+    evidence: Optional[np.ndarray] = None  # of word buckets by domain
 
 
 # Byte classes whose shares are features.
@@ -63,14 +65,72 @@ for _k, _chars in enumerate(_CLASSES):
     _MEMBER[list(_chars), _k] = 1.0
 
 
-def text_features(text: str) -> tuple[int, np.ndarray]:
-    """Number of words (the tokens that are mixed) and the shape of a text."""
+def text_features(text: str) -> tuple[int, np.ndarray, set]:
+    """Number of words (the tokens that are mixed), the shape of a text, and its different words."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     shares = np.bincount(raw, minlength=256) @ _MEMBER / max(1, len(raw))
-    words, lines = text.split(), text.split("\n")
-    n = len(words)
-    return n, np.array([*shares, np.log1p(len(raw)), len(raw) / max(1, n), len(set(words)) / max(1, n),
-                        len(set(lines)) / max(1, len(lines))])
+    words, lines = text.lower().split(), text.split("\n")
+    n, different = len(words), set(words)
+    return n, np.array([*shares, np.log1p(len(raw)), len(raw) / max(1, n), len(different) / max(1, n),
+                        len(set(lines)) / max(1, len(lines))]), different
+
+
+BUCKETS = 1 << 17   # of hashed words
+LEAST_TEXTS = 5     # a bucket counts from so many labelled texts on
+STRONG = 2.0        # evidence of a word that counts by itself
+
+
+class Looked(NamedTuple):
+    """What the classifier needs of some texts: words, shapes, and the buckets of each text's different words, text
+    after text, with the places where they begin (and the end)."""
+    n: list
+    shape: np.ndarray
+    found: np.ndarray
+    begins: np.ndarray
+
+    def part(self, rows: np.ndarray) -> "Looked":
+        """Some of the texts, by a mask."""
+        sizes = np.diff(self.begins)
+        return Looked([n for n, k in zip(self.n, rows) if k], self.shape[rows], self.found[np.repeat(rows, sizes)],
+                      np.cumsum(np.append(0, sizes[rows])))
+
+
+def look(texts: list) -> Looked:
+    """Some texts at a time, so that the words of a few are in memory together (null: an empty text)."""
+    n, shape, found, sizes = [], [], [], [0]
+    for lo in range(0, len(texts), 200):
+        made = [text_features(t or "") for t in texts[lo:lo + 200]]
+        n += [k for k, _, _ in made]
+        shape += [x for _, x, _ in made]
+        sizes += [len(w) for _, _, w in made]
+        flat = list(itertools.chain.from_iterable(w for _, _, w in made))
+        if flat:
+            hashes = pd.util.hash_array(np.array(flat, dtype=object), categorize=False)
+            found.append((hashes % np.uint64(BUCKETS)).astype(np.int32))
+    return Looked(n, np.array(shape), np.concatenate(found or [np.zeros(0, np.int32)]), np.cumsum(sizes))
+
+
+def word_evidence(texts: Looked, y: np.ndarray, n_domains: int) -> np.ndarray:
+    """Per bucket and domain, the log of how much more often the domain's texts hold it than the others do."""
+    of = np.repeat(y, np.diff(texts.begins))
+    count = np.stack([np.bincount(texts.found[of == d], minlength=BUCKETS) for d in range(n_domains)], axis=1).astype(np.float64)
+    n = np.bincount(y, minlength=n_domains)
+    every = count.sum(1, keepdims=True)
+    odds = (np.log((count + 0.5) / (n + 1)) - np.log((every - count + 0.5) / (n.sum() - n + 1)))
+    return np.where(every >= LEAST_TEXTS, np.clip(odds, -4, 4), 0.0).astype(np.float32)
+
+
+def features_of(texts: Looked, evidence: np.ndarray) -> np.ndarray:
+    """Per text its shape and, per domain, the evidence of all its words, of the strongest one, and the number of strong ones."""
+    n = np.diff(texts.begins)
+    out = np.zeros((len(n), 3 * evidence.shape[1]))
+    some = np.flatnonzero(n)
+    if len(some):
+        e, starts = evidence[texts.found], texts.begins[:-1][some]
+        out[some] = np.hstack([np.add.reduceat(e, starts, axis=0) / np.sqrt(n[some])[:, None],
+                               np.maximum.reduceat(e, starts, axis=0),
+                               np.log1p(np.add.reduceat((e > STRONG).astype(np.float32), starts, axis=0))])
+    return np.hstack([texts.shape, out])
 
 
 def _train(x: np.ndarray, y: np.ndarray, domains: tuple, ridge: float = 1e-3) -> Classifier:
@@ -89,6 +149,22 @@ def _train(x: np.ndarray, y: np.ndarray, domains: tuple, ridge: float = 1e-3) ->
     return Classifier(w, mean, scale, domains)
 
 
+def train_classifier(rows: list[tuple[str, str]]) -> Optional[Classifier]:
+    """From (domain, text) rows: word evidence of each half of the rows makes features of the other half, so the
+    weights are fitted on texts that the evidence has not seen; the model's own evidence comes from all rows."""
+    names = tuple(sorted({d for d, _ in rows}))
+    place = {d: k for k, d in enumerate(names)}
+    y = np.array([place[d] for d, _ in rows])
+    texts = look([t for _, t in rows])
+    half = np.arange(len(rows)) % 2 == 0
+    x = np.zeros((len(rows), texts.shape.shape[1] + 3 * len(names)))
+    for learn, measure in ((half, ~half), (~half, half)):
+        if measure.any():
+            x[measure] = features_of(texts.part(measure), word_evidence(texts.part(learn), y[learn], len(names)))
+    model = _train(x, y, names)
+    return model and model._replace(evidence=word_evidence(texts, y, len(names)))
+
+
 def fit_classifier(documents: DataFrame, labels: DataFrame, domain: list[str]) -> Optional[Classifier]:
     """Train on at most SAMPLE labelled documents; None if no domain is labelled.
 
@@ -101,9 +177,7 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domain: list[str]) -
     rows = sorted((r["domain"], r["text"]) for r in sampled_texts(documents, known, SAMPLE_CHARS, SAMPLE_TOTAL))
     if not rows:
         return None
-    names = tuple(sorted({d for d, _ in rows}))
-    place = {d: k for k, d in enumerate(names)}
-    return _train(np.stack([text_features(t)[1] for _, t in rows]), np.array([place[d] for d, _ in rows]), names)
+    return train_classifier(rows)
 
 
 def membership(spark: SparkSession, text: Column, model: Optional[Classifier]) -> Column:
@@ -117,17 +191,22 @@ def membership(spark: SparkSession, text: Column, model: Optional[Classifier]) -
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            made = [text_features(t or "") for t in texts.tolist()]
-            if not made:
+            if not len(texts):
                 yield pd.DataFrame({"n_tokens": pd.Series([], dtype="int64"), "p": pd.Series([], dtype=object)})
                 continue
-            if m is None:
-                p = np.ones((len(made), 1))
-            else:
-                s = (np.stack([x for _, x in made]) - m.mean) / m.scale @ m.weights[:, :-1].T + m.weights[:, -1]
-                p = np.exp(s - s.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-            yield pd.DataFrame({"n_tokens": [n for n, _ in made], "p": list(p)})
+            counts, posteriors = [], []
+            values = texts.tolist()
+            for lo in range(0, len(values), 1000):
+                looked = look(values[lo:lo + 1000])
+                if m is None:
+                    p = np.ones((len(looked.n), 1))
+                else:
+                    s = (features_of(looked, m.evidence) - m.mean) / m.scale @ m.weights[:, :-1].T + m.weights[:, -1]
+                    p = np.exp(s - s.max(1, keepdims=True))
+                    p /= p.sum(1, keepdims=True)
+                counts += looked.n
+                posteriors += list(p)
+            yield pd.DataFrame({"n_tokens": counts, "p": posteriors})
 
     return run(text)
 
@@ -222,18 +301,20 @@ def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float], do
 
     A rate's fraction is one more copy with that chance, decided by a hash of
     the id, so that expected totals are the fitted ones. With ``never_drop`` every document is there at least once.
+    Null and empty texts have no tokens and get the rate that their posteriors give; null ids and repeated rows
+    are mixed like others; without labels all documents stay as they are; an empty table stays empty; columns
+    named like the helper columns pass through.
     """
     spark = documents.sparkSession
     model = fit_classifier(documents, labels, domain)
     if model is None:
         return documents
-    scored = materialized(documents.select(membership(spark, F.col("text"), model).alias("m"))
-                          .select("m.n_tokens", "m.p"), "mixing")
-    gaps = fit_rates(scored, weights, model.domains, never_drop)
     k_member, k_copy = fresh(documents, "membership", "copy")
+    # classified once; the fit and the copies read what was written
+    scored = materialized(documents.withColumn(k_member, membership(spark, F.col("text"), model)), "mixing")
+    gaps = fit_rates(scored.select(f"{k_member}.n_tokens", f"{k_member}.p"), weights, model.domains, never_drop)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(_rate(F.col(f"{k_member}.p"), gaps, least=1.0 if never_drop else 0.0) + chance).cast("int")
-    return (documents.withColumn(k_member, membership(spark, F.col("text"), model))
-            .withColumn(k_copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))
+    return (scored.withColumn(k_copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))
                                           .otherwise(F.array().cast("array<int>"))))
             .select(*documents.columns))

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sitelens.llm import fingerprint, linefreq, mixing, ordermh, piecebpe, tokencount, toxicity
+from sitelens.llm import fingerprint, linefreq, mixing, ordermh, piecebpe, queries, tokencount, toxicity
 from sitelens.llm.common import Forest, table
 
 ALPHABET = [*"ab the'restvmld .,!?\n\t   　\x1c\x85éßñ½５٣中文😀▁\u0000<|>", "<|endoftext|>", "'re", "'ll", " disgusting",
@@ -72,6 +72,36 @@ def test_neighbours_on_odd_rows(odd_documents, buckets):
     assert len(same) == 1
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 32])
+def test_neighbours_where_one_id_has_a_third_of_the_rows(shipped, buckets):
+    rng = random.Random(buckets)
+    rows = [(i, f"text {rng.random()}") for i in range(600)] + [(300, f"{rng.choice('abcdef')} {rng.random()}") for _ in range(280)]
+    rows += [(300, "the same text again")] * 30 + [(300, None), (None, "x"), (2 ** 53 + 1, "large"), (2 ** 53 + 2, "larger")]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.neighbour_fingerprints(docs, buckets).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        e = fingerprint.edited(t, following)
+        s = fingerprint.fingerprint(t)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.text_of(s),
+                     fingerprint.text_of(fingerprint.fingerprint(e)),
+                     round(fingerprint.likeness(s, fingerprint.fingerprint(e)), 9),
+                     round(fingerprint.likeness(s, fingerprint.fingerprint(following)), 9)))
+    assert sorted(str((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9),
+                       round(r.near_next, 9))) for r in got) == sorted(map(str, want))
+    if buckets == 32:
+        from pyspark.sql import functions as F
+        places = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.coalesce("text", F.lit("")).alias("begin"))
+        bounds = fingerprint._bounds(places, buckets)
+        sizes = {}
+        for r in places.collect():
+            at = sum(b <= (r.key, r.begin) for b in bounds)
+            sizes[at] = sizes.get(at, 0) + 1
+        assert max(sizes.values()) < 100  # 311 rows of one id lie in several ranges
+
+
 def test_neighbours_of_one_and_of_none(odd_documents, no_documents):
     one = fingerprint.neighbour_fingerprints(odd_documents.filter("doc_id = 5")).collect()
     assert [(r.doc_id, r.near_next) for r in one] == [(5, 1.0)]
@@ -154,6 +184,38 @@ def test_toxicity_on_odd_rows(odd_documents, no_documents, shipped):
     assert toxicity.drop_toxic(odd_documents, none).count() == 10
 
 
+# ---- the domain classifier
+
+def test_targets_are_reached(sf_dir, shipped):
+    """Expected totals of op6 over the whole table are within two hundredths of every target."""
+    from pyspark.sql import functions as F
+    docs, labels = table(shipped, sf_dir, "documents"), table(shipped, sf_dir, "labels")
+    model = mixing.fit_classifier(docs, labels, ["quality", "toxic"])
+    rates = {(r.doc_id, r.n_tokens): r.rate for r in queries.op6_mixing(shipped, sf_dir).collect()}
+    scored = docs.select("doc_id", mixing.membership(shipped, F.col("text"), model).alias("m")).collect()
+    total = np.zeros(len(model.domains))
+    for r in scored:
+        total += rates[r.doc_id, r.m.n_tokens] * r.m.n_tokens * np.array(r.m.p)
+    for d, share in zip(model.domains, total / total.sum()):
+        assert abs(share - queries.WEIGHTS[d]) <= 0.02 * queries.WEIGHTS[d]
+
+
+def test_word_evidence_tells_domains_apart():
+    """Held-out texts of a domain that differs from others by a few words alone."""
+    rng = random.Random(4)
+    plain = [f"w{i}" for i in range(400)]
+    def text(marked):
+        words = rng.choices(plain, k=60)
+        if marked:
+            words[rng.randrange(60)] = rng.choice(["Foul", "vile"])
+        return " ".join(words)
+    rows = sorted((str(k % 2), text(k % 2)) for k in range(600))
+    m = mixing.train_classifier(rows)
+    x = mixing.features_of(mixing.look([text(k % 2) for k in range(200)]), m.evidence)
+    s = (x - m.mean) / m.scale @ m.weights[:, :-1].T + m.weights[:, -1]
+    assert np.mean(s.argmax(1) == np.arange(200) % 2) > 0.95
+
+
 # ---- token counts
 
 @pytest.fixture(scope="module")
@@ -301,6 +363,40 @@ def test_near_dedup_of_one_large_group(shipped, monkeypatch):
     assert got == brute_classes(texts) and got[119] == 0 and got[500] == 500
 
 
+@pytest.mark.parametrize("rows", [4, 16, 1000])
+def test_near_dedup_of_chains_and_strangers(shipped, monkeypatch, rows):
+    """Groups whose hub is like few of them: a chain of texts that drift apart, two clusters that a bridge
+    joins, and texts that share a passage only."""
+    monkeypatch.setattr(ordermh, "TILE_ROWS", rows)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 9000)}"
+    words = [word() for _ in range(240)]
+    texts = {}
+    for i in range(45):
+        texts[i] = " ".join(words)
+        words[5 * i:5 * i + 5] = [word() for _ in range(5)]
+    passage = [word() for _ in range(60)]
+    for i in range(100, 140):
+        texts[i] = " ".join([word() for _ in range(60)] + passage)
+    left = [word() for _ in range(200)]
+    right = left[:20] + [word() for _ in range(24)] + left[44:]
+    bridge = left[:20] + right[20:32] + left[32:]
+    for i in range(200, 220):
+        texts[i] = " ".join((left if i % 2 else right)[:199] + [f"end{i}"])
+    texts[230] = " ".join(bridge)
+    docs = shipped.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in ordermh.near_duplicate_classes(docs).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_of_rows_with_one_id_the_smallest_text_stays(shipped):
+    rows = [(1, "b text", "x"), (1, "a text", "y"), (1, "a text", "c"), (2, None, "z"), (2, "later", "z"), (None, "n", "q"), (None, "n", "q")]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, lang string")
+    for part in (1, 7):
+        got = sorted(map(str, (tuple(r) for r in ordermh.keep_one_of_each_class(docs.repartition(part)).collect())))
+        assert got == sorted(map(str, [(1, "a text", "c"), (2, None, "z"), (None, "n", "q"), (None, "n", "q")]))
+
+
 def plain_alignment(a, b):
     """Longest common subsequence over all k-mers of either text, by the whole table."""
     last = [0] * (len(b) + 1)
@@ -441,3 +537,33 @@ def test_mixing_on_odd_rows(odd_documents, no_documents, shipped):
     assert {r.rate for r in mixing.mixing_rates(odd_documents, labels.limit(0), {}, ["quality"]).collect()} == {1.0}
     assert mixing.mixing_rates(no_documents, labels, {"1": 1.0}, ["quality"]).collect() == []
     assert mixing.mixed(odd_documents, labels, {"1": 0.5, "0": 0.5}, ["quality"]).columns == odd_documents.columns
+
+
+def test_caches_are_bounded_in_bytes():
+    """Units of 200,000 characters, and a text of 2 MB without a space, leave nothing behind."""
+    rng = random.Random(2)
+    letters = "abcdefghij"
+    table_ = piecebpe.piece_table(public_tokenizers.path("piece_bpe_32k.model"))
+    counter = tokencount.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    before = table_.units.bytes, counter.totals.bytes, ordermh._words.bytes
+    for size in (*[200_000] * 5, 2_000_000):
+        text = "".join(rng.choices(letters, k=size))
+        assert table_.encoded_text(text)[2] == text.encode()
+        assert counter.count(text) > size // 5
+        assert len(ordermh.kmers(text)) == 1
+    after = table_.units.bytes, counter.totals.bytes, ordermh._words.bytes
+    assert all(b - a < 10_000 for a, b in zip(before, after))
+
+
+def test_a_full_cache_is_emptied_between_texts(monkeypatch):
+    t = piecebpe.PieceTable(public_tokenizers.path("piece_bpe_32k.model"))
+    t.units.most_bytes = 2_000
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    for _ in range(60):
+        text = " ".join(rng.choice(["plain", "w%d" % rng.randint(0, 500), "😀".encode("utf-16", "surrogatepass").decode("utf-16"),
+                                    "  x", "é", "▁odd"]) for _ in range(20))
+        n, ids, back = t.encoded_text(text)
+        want = library.encode(text)
+        assert ids == ",".join(map(str, want)) and back == library.decode(want).encode()
+        assert t.units.bytes < 2_000 + 20 * 400

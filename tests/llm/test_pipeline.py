@@ -8,7 +8,7 @@ from sitelens.llm.common import DOCUMENT_COLUMNS, table
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
