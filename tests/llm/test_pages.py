@@ -145,3 +145,21 @@ def test_page_query_on_odd_rows(shipped):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id == 2} == {"x"}
     assert pagetext.extract_text(pages.limit(0)).collect() == []
+
+
+def test_menus_of_every_page_are_evidence(shipped, monkeypatch):
+    """The array holds what every page has outside its article, and cutting a host into ranges changes nothing."""
+    menu = "home products about us contact jobs press legal"
+    own = [" ".join(f"word{k * 100 + i}" for i in range(12)) for k in range(40)]
+    html = [f"<nav>{menu}</nav><article>{own[k]}</article>" for k in range(20)]
+    html += [f"<div>{menu}</div><div class=ad>{own[k]} {k}</div><div>{own[k]} of it</div>" for k in range(20, 22)]
+    # copies that differ in their adverts only are one page
+    html += [f"<div class=ad>{own[k]}</div><div>{own[39]}</div>" for k in range(22, 26)]
+    rows = [(k, "http://h/x", page) for k, page in enumerate(html)] + [(90, "http://other/x", f"<div>{menu}</div>")]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = own[:20] + [f"{own[k]} of it" for k in (20, 21)] + [own[39]] * 4
+    assert pagetext.chunk_texts(html) == want
+    for tokens in (1 << 18, 30, 1):
+        monkeypatch.setattr(pagetext, "RANGE_TOKENS", tokens)
+        got = {r.page_id: r.text for r in pagetext.extract_text(pages).collect()}
+        assert [got[k] for k in range(len(html))] == want and got[90] == menu
