@@ -33,6 +33,7 @@ PICKED = 4           # L: k-mers in a sketch
 SHORT = 20           # pairs whose shorter text has at most so many k-mers meet on single k-mers
 BINS = 128           # bytes of the one-permutation signature that estimates similarity
 TILE_ROWS = 512      # rows of one block of a large group
+SLICE_ROWS = 512     # texts that are Python objects at one time
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CACHE_BYTES = 96 << 20  # of the words' hashes that a worker keeps
 
@@ -202,8 +203,25 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return chain / (n + m - chain)
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(lo, SLICE_ROWS)
+
+
+def _releasing(run):
+    """Arrow function ``run`` that leaves no words' hashes behind in its worker."""
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _words.drop()
+            pa.default_memory_pool().release_unused()
+    return released
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches):
         cls, ns, sigs, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
             g = kmers(text or "")
@@ -327,7 +345,7 @@ def _links(rows: DataFrame, forest, exact: bool, large: bool) -> DataFrame:
     place = f"case when doc_id = hub then sequence(0L, {chunks} - 1) else array(pmod(xxhash64(doc_id), {chunks})) end"
     met = (many.withColumn("tile", F.explode(F.expr(place))).withColumn("other", F.col("doc_id") != F.col("hub"))
            .repartition("group", "tile").sortWithinPartitions("group", "tile", "other", "doc_id"))
-    near = materialized(met.mapInArrow(_met_hub(exact), "group long, hub long, doc_id long, joined boolean"), "order-minhash-hubs")
+    near = materialized(met.mapInArrow(_releasing(_met_hub(exact)), "group long, hub long, doc_id long, joined boolean"), "order-minhash-hubs")
     rest = near.filter("not joined").select("group", "doc_id")
     left_over = rest.groupBy("group").agg(F.count("*").alias("n_rest"))
     others = many.join(rest, ["group", "doc_id"]).join(left_over, "group")
@@ -368,7 +386,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = materialized(source.mapInArrow(
-        _sketch_batches, "doc_id long, cls binary, n int, sig binary, keys array<bigint>"), "order-minhash")
+        _releasing(_sketch_batches), "doc_id long, cls binary, n int, sig binary, keys array<bigint>"), "order-minhash")
     reps = materialized(
         made.groupBy("cls").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "sig", "keys")))
                                 .alias("r"), F.count("*").alias("n_same")).select("cls", "n_same", "r.*"),
@@ -386,7 +404,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = groups.join(sizes, "group").withColumn("hub", F.col("group"))
     texts, large = source.join(chosen, "doc_id"), not sizes.filter(is_large).isEmpty()
     # with a large group, texts of candidates are written once instead of being shuffled for every use
-    found = _links(materialized(texts, "order-minhash-texts") if large else texts, _verified_forest, True, large)
+    found = _links(materialized(texts, "order-minhash-texts") if large else texts, _releasing(_verified_forest), True, large)
     classes = connected_components(found).withColumnRenamed("id", "doc_id")
     by_class = reps.select("cls", "n_same", "doc_id").join(classes, "doc_id", "left").select(
         "cls", "n_same", F.coalesce("component", "doc_id").alias("class_id"))

@@ -50,11 +50,9 @@ class _UnitIds(ByteCache):
     def size(self, ids: str) -> int:
         return len(ids)
 
-    def trim(self) -> bool:
-        emptied = super().trim()
-        if emptied:
-            self.odd.clear()
-        return emptied
+    def drop(self) -> None:
+        super().drop()
+        self.odd.clear()
 
 
 class PieceTable:
@@ -161,6 +159,11 @@ class PieceTable:
             back = text.replace(SPACE, " ")
         return ids.count(",") + 1, ids, back.encode("utf-8", "replace")
 
+    def release(self) -> None:
+        """Forget what was kept of the texts so far."""
+        self.units.drop()
+        self.compatible.known.clear()
+
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units_of(text) for i in self.unit_ids(u)]
 
@@ -186,12 +189,15 @@ def encoded(text: Column, model: Optional[str] = None) -> Column:
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = piece_table(model or public_tokenizers.path("piece_bpe_32k.model"))
-        for texts in batches:
-            rows = []
-            for text in texts.tolist():
-                n, ids, back = t.encoded_text(text)
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                rows = []
+                for text in texts.tolist():
+                    n, ids, back = t.encoded_text(text)
+                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            t.release()
     return run(F.coalesce(text, F.lit("")))
 
 

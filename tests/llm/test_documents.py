@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -567,3 +568,16 @@ def test_a_full_cache_is_emptied_between_texts(monkeypatch):
         want = library.encode(text)
         assert ids == ",".join(map(str, want)) and back == library.decode(want).encode()
         assert t.units.bytes < 2_000 + 20 * 400
+
+
+def test_workers_keep_no_caches_between_tasks():
+    """A worker serves one operator after another, so each leaves its caches empty."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array([f"some words of text {k}" for k in range(1300)])],
+                                       names=["doc_id", "text"])
+    made = list(ordermh._releasing(ordermh._sketch_batches)(iter([batch])))
+    assert [b.num_rows for b in made] == [512, 512, 276] and not ordermh._words and not ordermh._words.bytes
+    table = piecebpe.piece_table(public_tokenizers.path("piece_bpe_32k.model"))
+    table.encoded_text("a text with a lone \ud800 sign")
+    assert table.units
+    table.release()
+    assert not (table.units or table.units.bytes or table.units.odd or table.compatible.known)
