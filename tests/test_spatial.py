@@ -191,3 +191,36 @@ def test_nearest_among_clustered_sites(spark):
                           build_lat="blat", build_lon="blon").collect()
     by = {(r.pid, r.distance_rank): r.bid for r in got}
     assert [by[1, k] for k in (1, 2, 3)] == [0, 7, 14] and [by[2, k] for k in (1, 2)] == [900, 901]
+
+
+def test_distance_issues_group_only_pairs_that_can_repeat(spark, monkeypatch):
+    """Without a repeated id no pair is shuffled; with some, or with too many, the same pairs are found."""
+    from sitelens.operators import quality as Q
+    from sitelens.operators.spatial import radius_join
+
+    def issues(parks, camps, tables=True):
+        p = spark.createDataFrame(parks, "park_id long, la double, lo double")
+        c = spark.createDataFrame(camps, "campground_id long, cla double, clo double")
+        pairs = radius_join(p, c, 1000.0, probe_lat="la", probe_lon="lo", build_lat="cla", build_lon="clo")
+        return Q.distance_issues(pairs, *((p, c) if tables else ()))
+
+    parks, camps = [(k, 1.0 * k, 2.0) for k in range(6)], [(k, 1.5 * k, 2.5) for k in range(6)]
+    plan = issues(parks, camps)
+    assert plan.collect() == [] and "hashpartitioning(park_id" not in plan._jdf.queryExecution().executedPlan().toString()
+    twice = (parks + parks[2:3] + [(None, 0.0, 2.0)] * 2, camps + [(4, 0.1, 2.0)])
+    want = sorted(map(tuple, issues(*twice, tables=False).collect()), key=str)
+    assert len(want) > 8
+    for most in (100_000, 0):
+        monkeypatch.setattr(Q, "BROADCAST_IDS", most)
+        assert sorted(map(tuple, issues(*twice).collect()), key=str) == want
+
+
+def test_count_levels_follow_places_not_points(spark):
+    """Many points at one place need no deeper levels, as they can't be parted."""
+    from sitelens.operators import pyramid as PY
+    points = spark.range(20000).selectExpr("cast(id % 20 as double) as la", "cast(id % 20 as double) as lo")
+    places = points.groupBy("la", "lo").count()
+    assert PY.Pyramid(places, "la", "lo", weight="count").levels < PY.Pyramid(points, "la", "lo").levels == PY.MOST_LEVELS
+    keys = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 50.0, 0.0)], "k int, a double, b double")
+    got = PY.count_within(keys, points, 500.0, probe_lat="a", probe_lon="b", lat="la", lon="lo")
+    assert sorted((r.k, r.n) for r in got.collect()) == [(1, 4000), (2, 0), (3, 0)]
