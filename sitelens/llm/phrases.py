@@ -41,8 +41,7 @@ SHARDS = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 # what one pass of character replacement makes of a text: pieces end at \n, words at a space
-FROM = UPPER + BREAKS + "\t"
-TO = UPPER.lower() + "\n" * len(BREAKS) + " "
+BYTES = bytes.maketrans((UPPER + BREAKS + "\t").encode(), (UPPER.lower() + "\n" * len(BREAKS) + " ").encode())
 STATE = "lang string, phrase string, words int, start int, n long"
 
 
@@ -200,6 +199,18 @@ def _count_shard(step: int, table: Broadcast, limits: Limits):
     return run
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) with single bytes replaced by BYTES, which leaves longer characters alone, and the line end, which
+    ends a piece, as a word of its own."""
+    for batch in batches:
+        text = batch.column(1)
+        valid, ends, raw = text.buffers()
+        mapped = pa.Array.from_buffers(pa.string(), len(text), [
+            valid, ends, pa.py_buffer((raw.to_pybytes() if raw else b"").translate(BYTES))], offset=text.offset)
+        made = pc.binary_join_element_wise(pc.replace_substring(mapped, "\n", " \n "), " \n", "")
+        yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["lang", "text"])
+
+
 def _phrase_slots(size: int):
     """Arrow function: table slots of phrases, for the set of all that are known."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +248,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     spark = docs.sparkSession
     ship_package(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    # pieces end at a word of its own, the line end
-    text = F.concat(F.replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), FROM, TO), F.lit("\n"), F.lit(" \n ")),
-                    F.lit(" \n")).alias("text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     folder = shared_folder(spark, "phrases")
-    (docs.select(lang, text).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(SHARDS)).cast("int"))
+    (docs.select(lang, text).mapInArrow(_marked, "lang string, text string").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(SHARDS)).cast("int"))
      .write.partitionBy("shard").parquet(f"{folder}/texts"))
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/texts")
     table = np.zeros(1 << limits.table_bits, dtype=np.uint8)
@@ -252,7 +261,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         found = (texts.filter(F.col("shard") == step % SHARDS).select("lang", "text")
                  .mapInArrow(_count_shard(step, shared, limits), STATE))
         open_rows = state.filter(F.col("start") + SHARDS > step)
-        total = (open_rows.unionByName(found).groupBy("lang", "phrase", "words", "start").agg(F.sum("n").alias("n"))
+        total = (open_rows.unionByName(found).groupBy("lang", "phrase").agg(
+            # both are the same in every row of a phrase
+            F.max("words").alias("words"), F.max("start").alias("start"), F.sum("n").alias("n"))
                  # a phrase that has had its cycle stays if it is frequent
                  .filter((F.col("start") + SHARDS - 1 > step) | (F.col("n") >= min_count) | (F.col("words") == 0)))
         path = f"{folder}/step-{step}"

@@ -121,3 +121,13 @@ def test_query_against_all_phrases(shipped, sf_dir):
     docs = shipped.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted(tuple(r) for r in queries.op12_phrases(shipped, sf_dir).collect())
     assert got == brute([(r.lang, r.text) for r in docs.collect()], 100, 2000)
+
+
+def test_marked_texts_by_their_definition():
+    texts = ["", "A.b\tC\n\x0b\x0c\rÄÖ! é:;?,", "x" * 50 + "  Z", "..", "\U0001f600Q\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["und"] * 5), pa.array(texts)], names=["lang", "text"])
+    marks = str.maketrans(phrases.UPPER + phrases.BREAKS + "\t", phrases.UPPER.lower() + "\n" * len(phrases.BREAKS) + " ")
+    want = [t.translate(marks).replace("\n", " \n ") + " \n" for t in texts]
+    for part, expected in ((batch, want), (batch.slice(1, 3), want[1:4]), (batch.slice(0, 0), [])):
+        (made,) = phrases._marked(iter([part]))
+        assert made.column(1).to_pylist() == expected and made.num_rows == part.num_rows
