@@ -2,6 +2,7 @@
 
 import pytest
 
+from sitelens.operators import quality as Q
 from sitelens.plans import typed_tables as TT
 from sitelens.plans.jobs import JobCheckError
 from sitelens.sources.csv import ContractError
@@ -120,3 +121,52 @@ def test_header_in_another_order(spark, tmp_path):
     raw.write.mode("overwrite").option("header", True).csv(str(tmp_path / "text/activities"))
     with pytest.raises(ContractError, match="another order"):
         TT.read_exported(spark, str(tmp_path / "text"))
+
+
+def _stored(spark, path, groups):
+    """Rows (a, b) in one file a group, in the given order."""
+    for rows in groups:
+        spark.createDataFrame(rows, "a string, b string").coalesce(1).write.mode("append").parquet(str(path))
+    return spark.read.schema("a string, b string").parquet(str(path))
+
+
+ORDERED = [[("a", f"{i:03d}") for i in range(50)], [("a", "1"), ("b", "0"), ("é", "0")], [("ö", "0"), ("ö", "00")]]
+
+
+def test_sorted_pairs_are_not_shuffled(spark, tmp_path):
+    df = _stored(spark, tmp_path / "t", ORDERED)
+    assert Q.keys_ascend(df, ["a", "b"]) and Q.keys_ascend(df.limit(0), ["a", "b"])
+    found = Q.stored_duplicate_issues(df, ["a", "b"], "twice")
+    assert found.collect() == [] and found.schema == Q.duplicate_issues(df, ["a", "b"], "twice").schema
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("more,want", [
+    ([("ö", "00"), ("z", "1")], ["ö:00"]),            # the end of one file and the start of another
+    ([("a", "010")], ["a:010"]),                      # inside another file's run
+    ([("x", "1"), ("x", "1")], ["x:1"]),              # neighbours
+    ([("x", "1"), ("c", "1"), ("x", "1")], ["x:1"]),  # out of order
+    ([(None, "1"), (None, "1"), (None, "2")], [None]),
+    ([(f"{i * 7 % 600:03d}", "9") for i in range(601)], ["000:9"]),
+    ([(f"{i * 7 % 600:03d}", "9") for i in range(600)], [])])
+def test_repeated_stored_keys(spark, tmp_path, more, want):
+    df = _stored(spark, tmp_path / "t", [*ORDERED, more])
+    assert sorted(r.record_key for r in Q.stored_duplicate_issues(df, ["a", "b"], "twice").collect()) == want
+    assert not want or not Q.keys_ascend(df, ["a", "b"])
+
+
+def test_runs_are_the_same_however_rows_are_batched(spark, tmp_path):
+    df = _stored(spark, tmp_path / "t", ORDERED)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert Q.keys_ascend(df, ["a", "b"])
+        assert not Q.keys_ascend(df.unionByName(df.limit(1)), ["a", "b"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_a_repeated_pair_in_the_text_is_an_issue(spark, tmp_path):
+    rows = GOOD["park_campground_distances"] * 2
+    with pytest.raises(JobCheckError, match=r"park_campground_distances.duplicate_key \(p1:c1\)"):
+        TT.load_tables(spark, frames(spark, park_campground_distances=rows), VersionStore(spark, str(tmp_path / "s")))
