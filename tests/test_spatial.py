@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.functions.geo import haversine_km, rounded_km
 from sitelens.operators import pyramid as PY
 from sitelens.operators import spatial as SP
 from sitelens.operators.spatial import duplicate_pairs, radius_join
@@ -224,3 +225,58 @@ def test_count_levels_follow_places_not_points(spark):
     keys = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 50.0, 0.0)], "k int, a double, b double")
     got = PY.count_within(keys, points, 500.0, probe_lat="a", probe_lon="b", lat="la", lon="lo")
     assert sorted((r.k, r.n) for r in got.collect()) == [(1, 4000), (2, 0), (3, 0)]
+
+
+def test_pairs_at_the_very_radius(spark):
+    """The chord decides most pairs; those whose rounded distance is the radius itself, or its neighbour, still go by that."""
+    rnd = random.Random(4)
+    some = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(12)]
+    some += [(20, 90.0, 0.0), (21, -90.0, 5.0), (22, 0.0, 180.0), (23, 0.0, -180.0), (24, 0.0, 0.0), (25, 1e-7, 1e-7)]
+    p = spark.createDataFrame(some, "p long, plat double, plon double")
+    c = spark.createDataFrame(some, "c long, clat double, clon double")
+    d = F.round(haversine_km("plat", "plon", "clat", "clon"), 6)
+    every = {(r.p, r.c): r.d for r in p.crossJoin(c).select("p", "c", d.alias("d")).collect()}
+    far = sorted(set(every.values()))
+    for at in (far[0], far[len(far) // 2], far[-2]):
+        for radius in (max(at - 1e-6, 0.0), at, at + 1e-6):
+            got = radius_join(p, c, radius, probe_lat="plat", probe_lon="plon", build_lat="clat", build_lon="clon").collect()
+            assert {(r.p, r.c): r.distance_km for r in got} == {k: v for k, v in every.items() if v <= radius}
+
+
+def test_rounded_distances_equal_round(spark):
+    rnd = random.Random(9)
+    values = [0.0, 5e-7, 4.9999999e-7, 20015.114442, math.nan, math.inf, None]
+    for _ in range(2000):
+        half = (rnd.randint(0, 20_000_000_000) + 0.5) / 1e6
+        values += [rnd.uniform(0, 20015), half, math.nextafter(half, 0), math.nextafter(half, 1e9), rnd.randint(0, 10**10) / 1e7]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.where(~F.round("v", 6).eqNullSafe(rounded_km(F.col("v")))).collect() == []
+
+
+def test_a_small_probe_table_is_dealt_by_cell(spark):
+    """Before, with the build side broadcast, all pairs of a probe table of one task were made by that task."""
+    p = spark.createDataFrame([(i, i / 7.0 - 80, i * 1.0 - 170) for i in range(300)], "p long, plat double, plon double").coalesce(1)
+    c = p.select(F.col("p").alias("c"), F.col("plat").alias("clat"), F.col("plon").alias("clon"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        pairs = radius_join(p, F.broadcast(c), 2000.0, probe_lat="plat", probe_lon="plon", build_lat="clat", build_lon="clon")
+        by_task = pairs.groupBy(F.spark_partition_id().alias("t")).count().collect()
+        assert len(by_task) > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_issue_rules_do_not_make_their_columns_twice(spark):
+    """Before, a filter on the rules' result went down into the scan and the join, and made costly columns again for every test."""
+    from sitelens.operators import quality as Q
+    df = spark.range(20).select("id", F.sin(F.col("id").cast("double")).alias("x"))
+    for issues in (Q.row_rule_issues(df, F.col("id"), [("low", F.col("x") < -0.9), ("high", F.col("x") > 0.9)]),
+                   Q.distance_issues(df.select(F.col("id").alias("park_id"), F.col("id").alias("campground_id"),
+                                               F.col("x").alias("distance_km")), spark.createDataFrame([], "park_id long"),
+                                     spark.createDataFrame([], "campground_id long"))):
+        plan = issues._jdf.queryExecution().executedPlan().toString()
+        assert plan.upper().count("SIN(") == 1 and "Filter" not in plan
+    got = Q.row_rule_issues(df, F.col("id"), [("low", F.col("x") < -0.9), ("high", F.col("x") > 0.9), ("none", F.col("x") > 2)])
+    assert got.columns == ["issue", "record_key"]
+    assert sorted((r.record_key, r.issue) for r in got.collect()) == [(2, "high"), (5, "low"), (8, "high"), (11, "low"), (14, "high"), (17, "low")]
