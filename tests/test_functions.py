@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from column_helpers import apply
+from column_helpers import apply, one_col
 from sitelens.functions import amenities as A
 from sitelens.functions import geo as G
 from sitelens.functions import parse as PR
@@ -127,3 +127,14 @@ def test_blank(spark):
 def test_coordinate_text(spark):
     values = [44.35, -68.21, 0.1 + 0.2, 100.0, -0.0, 1e-5, 123.456789012345678, None, 1.0e-4]
     assert apply(spark, G.coordinate_text, values, "double") == [None if v is None else format(v, ".15g") for v in values]
+
+
+def test_numbers_that_need_no_cleaning_are_read_as_they_stand(spark):
+    values = ["1", "-1.5", "+.5", "1.", "1e3", "1E-2", "1_0", " 7 ", " 7", "7\n", "7 ", "7\u0085", "1 0", "", None, "nan", "inf", "1d",
+              "0x1", "1e999", "--1", "1__0", "_1", "١"]
+    want = [1.0, -1.5, 0.5, 1.0, 1000.0, 0.01, 10.0, 7.0, 7.0, 7.0, 7.0, 7.0, None, None, None, None, None, None, None, float("inf"),
+            None, None, None, None]
+    assert apply(spark, PR.parse_number, values) == want
+    # before, every number went through replacements of text first
+    plan = one_col(spark, ["1"]).select(PR.parse_number("v"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "cast(" in plan and plan.index("cast(") < plan.index("regexp_replace")
